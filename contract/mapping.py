@@ -6,8 +6,9 @@ the same in SQL. Only the registered queries and the tests use it; no operator d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 from mercato.schemas import TABLE_SPECS
 from mercato.sources.tables import Tables
@@ -26,134 +27,95 @@ FILE_SCHEMAS = {
 }
 
 
+# Column expressions over the files; columns the data does not have are NULL.
+ARRIVAL = "o_orderdate + make_dt_interval(0, cast((5 + o_orderkey * 37 % 53) * 24 + o_orderkey % 24 as int))"
+PRICE = "cast(l_extendedprice as decimal(12,2))"
+EXPRESSIONS = {
+    "customers": {
+        "customer_id": "c_custkey",
+        "customer_unique_id": "c_name",
+        "customer_state": "n_name",
+    },
+    "sellers": {"seller_id": "s_suppkey", "seller_state": "n_name"},
+    "products": {
+        "product_id": "p_partkey",
+        "product_category_name": "if(p_partkey % 50 = 0, null, p_brand)",
+    },
+    "product_category_name_translation": {
+        "product_category_name": "p_brand",
+        "product_category_name_english": "replace(p_brand, 'Brand#', 'category_')",
+    },
+    "orders": {
+        "order_id": "o_orderkey",
+        "customer_id": "o_custkey",
+        "order_status": """case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped'
+            when 'P' then 'canceled' end""",
+        "order_purchase_timestamp": "o_orderdate",
+        "order_approved_at": "o_orderdate + make_dt_interval(0, cast(o_orderkey % 48 as int))",
+        "order_delivered_carrier_date": "if(o_orderstatus in ('F', 'O'), o_orderdate + interval 2 days, null)",
+        "order_delivered_customer_date": f"if(o_orderstatus = 'F' and o_orderkey % 211 <> 0, {ARRIVAL}, null)",
+        "order_estimated_delivery_date": "o_orderdate + interval 36 days",
+    },
+    "order_items": {
+        "order_id": "l_orderkey",
+        "order_item_id": "l_linenumber",
+        "product_id": "l_partkey",
+        "seller_id": "l_suppkey",
+        "shipping_limit_date": "l_shipdate",
+        "price": PRICE,
+        "freight_value": f"{PRICE} * cast(l_tax as decimal(4,2))",
+    },
+    "order_payments": {
+        "order_id": "o_orderkey",
+        "payment_sequential": "seq",
+        "payment_type": "o_orderpriority",
+        "payment_installments": "1 + o_orderkey % 10",
+        "payment_value": "if(seq = 1, cast(o_totalprice as decimal(12,2)), 0)",
+    },
+    "order_reviews": {
+        "review_id": "concat_ws('-', l_orderkey, l_linenumber)",
+        "order_id": "l_orderkey",
+        "review_score": "1 + cast(l_quantity as int) % 5",
+    },
+    "geolocation": {"geolocation_state": "n_name"},
+}
+
+
+@lru_cache(maxsize=8)
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The mapped tables of one folder; only their plans are kept, every query scans its files."""
+
     def read(name: str) -> DataFrame:
         return spark.read.schema(FILE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    return Tables(lambda name: _conform(_MAPPINGS[name](read), name))
+    def with_nation(name: str, key: str) -> DataFrame:
+        nation = read("nation").withColumnRenamed("n_nationkey", key)
+        return read(name).join(nation, key, "left")
+
+    rows = {
+        "customers": lambda: with_nation("customer", "c_nationkey"),
+        "sellers": lambda: with_nation("supplier", "s_nationkey"),
+        "products": lambda: read("part"),
+        "product_category_name_translation": lambda: read("part")
+        .where("p_brand not in ('Brand#24', 'Brand#25')")
+        .select("p_brand")
+        .distinct(),
+        "orders": lambda: read("orders"),
+        "order_items": lambda: read("lineitem"),
+        "order_payments": lambda: read("orders").selectExpr(
+            "*", "explode(sequence(1, cast(1 + o_orderkey % 3 as int))) as seq"
+        ),
+        "order_reviews": lambda: read("lineitem").where("l_returnflag = 'R'"),
+        "geolocation": lambda: read("nation"),
+    }
+    return Tables(lambda name: _conform(rows[name](), name))
 
 
 def _conform(df: DataFrame, name: str) -> DataFrame:
-    """Declared columns in declared order and type; columns the data does not have are NULL."""
-    return df.select(
+    """Declared columns in declared order and type."""
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({EXPRESSIONS[name].get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}"
             for f in TABLE_SPECS[name].schema
         ]
     )
-
-
-def _hours(n: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), n.cast("int"))
-
-
-def _days(n: int) -> Column:
-    return F.make_dt_interval(F.lit(n))
-
-
-def _customers(read) -> DataFrame:
-    located = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return located.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("customer_unique_id"),
-        F.col("n_name").alias("customer_state"),
-    )
-
-
-def _sellers(read) -> DataFrame:
-    located = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return located.select(F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state"))
-
-
-def _products(read) -> DataFrame:
-    return read("part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand")).alias("product_category_name"),
-    )
-
-
-def _translation(read) -> DataFrame:
-    brands = read("part").where(~F.col("p_brand").isin("Brand#24", "Brand#25")).select("p_brand").distinct()
-    return brands.select(
-        F.col("p_brand").alias("product_category_name"),
-        F.replace("p_brand", F.lit("Brand#"), F.lit("category_")).alias("product_category_name_english"),
-    )
-
-
-def _orders(read) -> DataFrame:
-    key, ordered, status = F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_orderstatus")
-    arrival_hours = (5 + key * 37 % 53) * 24 + key % 24
-    return read("orders").select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.when(status == "F", "delivered")
-        .when(status == "O", "shipped")
-        .when(status == "P", "canceled")
-        .alias("order_status"),
-        ordered.alias("order_purchase_timestamp"),
-        (ordered + _hours(key % 48)).alias("order_approved_at"),
-        F.when(status.isin("F", "O"), ordered + _days(2)).alias("order_delivered_carrier_date"),
-        F.when((status == "F") & (key % 211 != 0), ordered + _hours(arrival_hours)).alias(
-            "order_delivered_customer_date"
-        ),
-        (ordered + _days(36)).alias("order_estimated_delivery_date"),
-    )
-
-
-def _items(read) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    return read("lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        price.alias("price"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
-    )
-
-
-def _payments(read) -> DataFrame:
-    key = F.col("o_orderkey")
-    rows = F.sequence(F.lit(1), (F.lit(1) + key % 3).cast("int"))
-    value = F.when(F.col("seq") == 1, F.col("o_totalprice").cast("decimal(12,2)"))
-    return (
-        read("orders")
-        .withColumn("seq", F.explode(rows))
-        .select(
-            key.alias("order_id"),
-            F.col("seq").alias("payment_sequential"),
-            F.col("o_orderpriority").alias("payment_type"),
-            (F.lit(1) + key % 10).alias("payment_installments"),
-            value.otherwise(F.lit(0).cast("decimal(12,2)")).alias("payment_value"),
-        )
-    )
-
-
-def _reviews(read) -> DataFrame:
-    return (
-        read("lineitem")
-        .where(F.col("l_returnflag") == "R")
-        .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
-            F.col("l_orderkey").alias("order_id"),
-            (F.lit(1) + F.col("l_quantity").cast("int") % 5).alias("review_score"),
-        )
-    )
-
-
-def _geolocation(read) -> DataFrame:
-    return read("nation").select(F.col("n_name").alias("geolocation_state"))
-
-
-_MAPPINGS = {
-    "customers": _customers,
-    "sellers": _sellers,
-    "products": _products,
-    "product_category_name_translation": _translation,
-    "orders": _orders,
-    "order_items": _items,
-    "order_payments": _payments,
-    "order_reviews": _reviews,
-    "geolocation": _geolocation,
-}

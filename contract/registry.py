@@ -20,12 +20,16 @@ CALENDAR_LAST = dt.date(2001, 10, 1)
 COMPARABLE_FROM = dt.date(1995, 6, 1)
 
 
-def _facts(t: Tables) -> DataFrame:
-    return order_analytics(t)
+def _facts(*parts: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: order_analytics(t, parts)
 
 
-def _facts_no_person(t: Tables) -> DataFrame:
-    return order_analytics(t, person=False)
+_orders = _facts()
+_order_values = _facts("items")
+_order_reviews = _facts("reviews")
+_customer_orders = _facts("person")
+_customer_values = _facts("person", "items")
+_delivered_layer = _facts("person", "items", "reviews")
 
 
 def _sold_totals(t: Tables) -> DataFrame:
@@ -41,17 +45,17 @@ def _performance(t: Tables) -> DataFrame:
 
 
 def _state(t: Tables) -> DataFrame:
-    return delivery.delivery_state(_facts_no_person(t), t.customers)
+    return delivery.delivery_state(_order_reviews(t), t.customers)
 
 
 def _category(t: Tables) -> DataFrame:
     return delivery.delivery_category(
-        _facts_no_person(t), t.order_items, t.products, t.product_category_name_translation
+        _order_reviews(t), t.order_items, t.products, t.product_category_name_translation
     )
 
 
 def _view_counts(t: Tables) -> DataFrame:
-    facts = _facts_no_person(t)
+    facts = _order_reviews(t)
     return delivery.view_row_counts(
         {
             "vw_delivery_satisfaction": delivery.delivery_satisfaction(facts),
@@ -63,13 +67,13 @@ def _view_counts(t: Tables) -> DataFrame:
 
 
 def _retention(t: Tables) -> DataFrame:
-    return cohorts.cohort_retention(_facts(t))
+    return cohorts.cohort_retention(_customer_orders(t))
 
 
 def _reconcile(t: Tables) -> DataFrame:
     # Four layers read the delivered orders: write their narrow join once.
     facts = durable(
-        delivered(_facts(t)).select(
+        delivered(_delivered_layer(t)).select(
             "order_id",
             "order_status",
             "customer_unique_id",
@@ -87,7 +91,7 @@ def _reconcile(t: Tables) -> DataFrame:
         customers=rfm.rfm_totals_check(rfm.customer_rfm(facts)),
         segments=rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(facts))),
         categories=_performance(t),
-        order_view_revenue=revenue.revenue_check_view(_facts_no_person(t)),
+        order_view_revenue=revenue.revenue_check_view(_order_values(t)),
         raw_item_revenue=revenue.revenue_check_raw(t.order_items, t.orders),
     )
 
@@ -100,7 +104,7 @@ def _extras(t: Tables) -> DataFrame:
         t.product_category_name_translation,
         categories.UNCATEGORIZED,
     )
-    return executive.dashboard_extras(rfm.customer_rfm(_facts(t)), totals)
+    return executive.dashboard_extras(rfm.customer_rfm(_customer_values(t)), totals)
 
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -133,47 +137,47 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "order_payments_rollup": lambda t: rollups.order_payments(t.order_payments),
     "order_revenue_rollup": lambda t: rollups.order_revenue(t.order_items),
     "order_reviews_rollup": lambda t: rollups.order_reviews(t.order_reviews),
-    "order_analytics": _facts,
+    "order_analytics": order_analytics,
     # revenue
-    "monthly_revenue": lambda t: revenue.monthly_revenue(_facts_no_person(t)),
-    "monthly_revenue_orders": lambda t: revenue.monthly_revenue_orders(_facts_no_person(t)),
-    "monthly_revenue_aov": lambda t: revenue.monthly_revenue_aov(_facts_no_person(t)),
-    "mom_growth_observed": lambda t: revenue.mom_growth_observed(_facts_no_person(t)),
-    "monthly_sales_calendar": lambda t: revenue.monthly_sales_calendar(_facts_no_person(t)),
+    "monthly_revenue": lambda t: revenue.monthly_revenue(_order_values(t)),
+    "monthly_revenue_orders": lambda t: revenue.monthly_revenue_orders(_order_values(t)),
+    "monthly_revenue_aov": lambda t: revenue.monthly_revenue_aov(_order_values(t)),
+    "mom_growth_observed": lambda t: revenue.mom_growth_observed(_order_values(t)),
+    "monthly_sales_calendar": lambda t: revenue.monthly_sales_calendar(_order_values(t)),
     "mom_growth_calendar": lambda t: revenue.mom_growth_calendar(
-        _facts_no_person(t), CALENDAR_FIRST, CALENDAR_LAST, COMPARABLE_FROM
+        _order_values(t), CALENDAR_FIRST, CALENDAR_LAST, COMPARABLE_FROM
     ),
     "category_revenue": lambda t: categories.category_revenue(
         t.order_items, sold(t.orders), t.products, t.product_category_name_translation
     ),
     "category_revenue_share": lambda t: categories.category_revenue_share(_sold_totals(t)),
     "category_top10": lambda t: categories.category_top(_sold_totals(t)),
-    "revenue_check_view": lambda t: revenue.revenue_check_view(_facts_no_person(t)),
+    "revenue_check_view": lambda t: revenue.revenue_check_view(_order_values(t)),
     "revenue_check_raw": lambda t: revenue.revenue_check_raw(t.order_items, t.orders),
     "category_share_check": lambda t: categories.category_share_check(_sold_totals(t)),
-    "sales_month_range": lambda t: revenue.sales_month_range(_facts_no_person(t)),
+    "sales_month_range": lambda t: revenue.sales_month_range(_orders(t)),
     "product_category_performance": _performance,
     "category_reconciliation": lambda t: categories.category_reconciliation(_performance(t)),
     # recency, frequency, monetary value
-    "rfm_snapshot_date": lambda t: rfm.snapshot_date(_facts(t)),
-    "rfm_frequency_distribution": lambda t: rfm.frequency_distribution(_facts(t)),
-    "rfm_metrics": lambda t: rfm.rfm_metrics_listing(_facts(t)),
-    "rfm_scores": lambda t: rfm.by_score(rfm.rfm_scores(_facts(t))),
-    "repeat_purchase_rate": lambda t: rfm.repeat_purchase_rate(_facts(t)),
-    "rfm_segments": lambda t: rfm.by_score(rfm.rfm_segments(rfm.rfm_scores(_facts(t)))),
-    "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(_facts(t)))),
-    "rfm_segment_by_type": lambda t: rfm.rfm_segment_by_type(rfm.rfm_segments(rfm.rfm_scores(_facts(t)))),
-    "rfm_high_value_at_risk": lambda t: rfm.rfm_high_value_at_risk(rfm.rfm_scores(_facts(t))),
-    "rfm_recent_high_value": lambda t: rfm.rfm_recent_high_value(rfm.rfm_scores(_facts(t))),
-    "rfm_top_customers": lambda t: rfm.rfm_top_customers(_facts(t)),
-    "rfm_validation": lambda t: rfm.rfm_validation(_facts(t)),
+    "rfm_snapshot_date": lambda t: rfm.snapshot_date(_customer_orders(t)),
+    "rfm_frequency_distribution": lambda t: rfm.frequency_distribution(_customer_orders(t)),
+    "rfm_metrics": lambda t: rfm.rfm_metrics_listing(_customer_values(t)),
+    "rfm_scores": lambda t: rfm.by_score(rfm.rfm_scores(_customer_values(t))),
+    "repeat_purchase_rate": lambda t: rfm.repeat_purchase_rate(_customer_orders(t)),
+    "rfm_segments": lambda t: rfm.by_score(rfm.rfm_segments(rfm.rfm_scores(_customer_values(t)))),
+    "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(_customer_values(t)))),
+    "rfm_segment_by_type": lambda t: rfm.rfm_segment_by_type(rfm.rfm_segments(rfm.rfm_scores(_customer_values(t)))),
+    "rfm_high_value_at_risk": lambda t: rfm.rfm_high_value_at_risk(rfm.rfm_scores(_customer_values(t))),
+    "rfm_recent_high_value": lambda t: rfm.rfm_recent_high_value(rfm.rfm_scores(_customer_values(t))),
+    "rfm_top_customers": lambda t: rfm.rfm_top_customers(_customer_values(t)),
+    "rfm_validation": lambda t: rfm.rfm_validation(_customer_values(t)),
     # cohorts
-    "first_purchase": lambda t: cohorts.first_purchase_listing(_facts(t)),
-    "cohort_sizes": lambda t: cohorts.cohort_sizes(_facts(t)),
-    "cohort_size_check": lambda t: cohorts.cohort_size_check(_facts(t)),
-    "cohort_activity_calendar": lambda t: cohorts.cohort_activity_calendar(_facts(t)),
-    "cohort_activity_relative": lambda t: cohorts.cohort_activity_relative(_facts(t)),
-    "cohort_retention_observed": lambda t: cohorts.cohort_retention_observed(_facts(t)),
+    "first_purchase": lambda t: cohorts.first_purchase_listing(_customer_orders(t)),
+    "cohort_sizes": lambda t: cohorts.cohort_sizes(_customer_orders(t)),
+    "cohort_size_check": lambda t: cohorts.cohort_size_check(_customer_orders(t)),
+    "cohort_activity_calendar": lambda t: cohorts.cohort_activity_calendar(_customer_orders(t)),
+    "cohort_activity_relative": lambda t: cohorts.cohort_activity_relative(_customer_orders(t)),
+    "cohort_retention_observed": lambda t: cohorts.cohort_retention_observed(_customer_orders(t)),
     "cohort_retention_matrix": lambda t: cohorts.cohort_listing(_retention(t)),
     "cohort_retention": _retention,
     "cohort_view_listing": lambda t: cohorts.cohort_listing(_retention(t)),
@@ -182,41 +186,41 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "cohort_maturity": lambda t: cohorts.cohort_maturity(_retention(t)),
     "retention_summary": lambda t: cohorts.retention_summary(_retention(t)),
     # delivery
-    "delivery_coverage": lambda t: delivery.delivery_coverage(_facts_no_person(t)),
-    "delivery_date_checks": lambda t: delivery.delivery_date_checks(_facts_no_person(t)),
-    "delay_distribution": lambda t: delivery.delay_distribution(_facts_no_person(t)),
-    "late_rate": lambda t: delivery.late_rate(_facts_no_person(t)),
-    "status_vs_review": lambda t: delivery.status_vs_review(_facts_no_person(t)),
-    "delay_bucket_vs_review": lambda t: delivery.delay_bucket_vs_review(_facts_no_person(t)),
-    "review_score_distribution": lambda t: delivery.review_score_distribution(_facts_no_person(t)),
+    "delivery_coverage": lambda t: delivery.delivery_coverage(_order_reviews(t)),
+    "delivery_date_checks": lambda t: delivery.delivery_date_checks(_orders(t)),
+    "delay_distribution": lambda t: delivery.delay_distribution(_orders(t)),
+    "late_rate": lambda t: delivery.late_rate(_orders(t)),
+    "status_vs_review": lambda t: delivery.status_vs_review(_order_reviews(t)),
+    "delay_bucket_vs_review": lambda t: delivery.delay_bucket_vs_review(_order_reviews(t)),
+    "review_score_distribution": lambda t: delivery.review_score_distribution(_order_reviews(t)),
     "delivery_by_state": lambda t: delivery.by_late_rate(_state(t)),
     "category_coverage": lambda t: delivery.category_coverage(t.products),
     "translation_coverage": lambda t: delivery.translation_coverage(t.product_category_name_translation),
     "order_category_check": lambda t: delivery.order_category_check(t.order_items, t.products),
     "delivery_by_category": lambda t: delivery.by_late_rate(_category(t)),
-    "delivery_satisfaction": lambda t: delivery.delivery_satisfaction(_facts_no_person(t)),
-    "delivery_delay_buckets": lambda t: delivery.delivery_delay_buckets(_facts_no_person(t)),
+    "delivery_satisfaction": lambda t: delivery.delivery_satisfaction(_order_reviews(t)),
+    "delivery_delay_buckets": lambda t: delivery.delivery_delay_buckets(_order_reviews(t)),
     "delivery_state": _state,
     "delivery_category": _category,
     "delivery_view_row_counts": _view_counts,
-    "delivery_satisfaction_listing": lambda t: delivery.delivery_satisfaction(_facts_no_person(t)).orderBy(
+    "delivery_satisfaction_listing": lambda t: delivery.delivery_satisfaction(_order_reviews(t)).orderBy(
         "delivery_status"
     ),
     "delay_buckets_listing": lambda t: delivery.by_severity(
-        delivery.delivery_delay_buckets(_facts_no_person(t))
+        delivery.delivery_delay_buckets(_order_reviews(t))
     ),
     "delivery_state_listing": lambda t: delivery.by_late_rate(_state(t)),
     "delivery_category_listing": lambda t: delivery.by_late_rate(_category(t)),
     # executive layer
-    "executive_kpis": lambda t: executive.executive_kpis(_facts(t)),
-    "monthly_business_performance": lambda t: executive.monthly_business_performance(_facts(t)),
-    "customer_rfm": lambda t: rfm.customer_rfm(_facts(t)),
+    "executive_kpis": lambda t: executive.executive_kpis(_delivered_layer(t)),
+    "monthly_business_performance": lambda t: executive.monthly_business_performance(_delivered_layer(t)),
+    "customer_rfm": lambda t: rfm.customer_rfm(_customer_values(t)),
     "cohort_retention_bi": lambda t: cohorts.cohort_listing(_retention(t)),
-    "executive_listing": lambda t: executive.executive_kpis(_facts(t)),
+    "executive_listing": lambda t: executive.executive_kpis(_delivered_layer(t)),
     "monthly_totals_check": lambda t: executive.monthly_totals_check(
-        executive.monthly_business_performance(_facts(t))
+        executive.monthly_business_performance(_delivered_layer(t))
     ),
-    "rfm_totals_check": lambda t: rfm.rfm_totals_check(rfm.customer_rfm(_facts(t))),
+    "rfm_totals_check": lambda t: rfm.rfm_totals_check(rfm.customer_rfm(_customer_values(t))),
     "cohort_bounds_check": lambda t: cohorts.cohort_bounds_check(_retention(t)),
     "reconcile": _reconcile,
     "dashboard_extras": _extras,

@@ -89,7 +89,7 @@ def category_revenue_share(totals: DataFrame) -> DataFrame:
 
 def category_top(totals: DataFrame, n: int = 10) -> DataFrame:
     """Categories of rank ``n`` or better; a tie at the last rank returns more than ``n`` rows."""
-    rank = F.rank().over(Window.orderBy(F.desc_nulls_first("revenue")))
+    rank = F.rank().over(Window.orderBy(F.desc_nulls_first("revenue"))).cast("bigint")
     return (
         totals.withColumn("revenue_rank", rank)
         .where(F.col("revenue_rank") <= n)

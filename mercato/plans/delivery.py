@@ -79,6 +79,11 @@ def delivery_date_checks(facts: DataFrame) -> DataFrame:
     )
 
 
+def delay_counts(facts: DataFrame) -> DataFrame:
+    """Orders per day of delay."""
+    return _with_delay(facts).groupBy("delivery_delay_days").agg(F.count("*").alias("orders"))
+
+
 def delay_profile(facts: DataFrame) -> DataFrame:
     """Orders, reviewed orders and review total per day of delay."""
     return (
@@ -92,19 +97,21 @@ def delay_profile(facts: DataFrame) -> DataFrame:
     )
 
 
-def _summary(weight: str) -> list[Column]:
-    """Aggregates over profile rows, each delay counting ``weight`` times."""
+def _delays(weight: str) -> list[Column]:
+    """Aggregates over the rows of a profile, each delay counting ``weight`` times."""
     return [
         F.coalesce(F.sum(weight), F.lit(0)).alias("n"),
         F.sum(F.col(_DELAY) * F.col(weight)).alias("delay_sum"),
-        F.sum("reviewed").alias("reviewed_n"),
-        F.sum("score_sum").alias("score_total"),
         F.percentile(_DELAY, F.lit(0.5), F.col(weight)).cast(RATE).alias("median_delay_days"),
         F.min(_DELAY).alias("min_delay"),
         F.max(_DELAY).alias("max_delay"),
     ]
 
 
+def _scores() -> list[Column]:
+    return [F.sum("reviewed").alias("reviewed_n"), F.sum("score_sum").alias("score_total")]
+
+
 def _mean_delay() -> Column:
     return rounded_ratio("delay_sum", "n").cast(RATE).alias("average_delay_days")
 
@@ -115,8 +122,8 @@ def _mean_score() -> Column:
 
 def delay_distribution(facts: DataFrame) -> DataFrame:
     return (
-        delay_profile(facts)
-        .agg(*_summary("orders"))
+        delay_counts(facts)
+        .agg(*_delays("orders"))
         .select(
             F.col("n").alias("orders"),
             F.col("min_delay").alias("minimum_delay_days"),
@@ -130,7 +137,7 @@ def delay_distribution(facts: DataFrame) -> DataFrame:
 def late_rate(facts: DataFrame) -> DataFrame:
     everything = F.sum("orders").over(Window.partitionBy())
     return (
-        delay_profile(facts)
+        delay_counts(facts)
         .groupBy(delivery_status().alias("delivery_status"))
         .agg(F.sum("orders").alias("orders"))
         .withColumn("order_share_pct", percent("orders", everything))
@@ -143,7 +150,7 @@ def _reviewed_summary(facts: DataFrame, group: Column, name: str) -> DataFrame:
         delay_profile(facts)
         .where(F.col("reviewed") > 0)
         .groupBy(group.alias(name))
-        .agg(*_summary("reviewed"))
+        .agg(*_delays("reviewed"), *_scores())
         .select(
             name,
             F.col("n").alias("orders_with_review"),
@@ -307,7 +314,7 @@ def delivery_satisfaction(facts: DataFrame) -> DataFrame:
     return (
         delay_profile(facts)
         .groupBy(delivery_status().alias("delivery_status"))
-        .agg(*_summary("orders"))
+        .agg(*_delays("orders"), *_scores())
         .select(
             "delivery_status",
             F.col("n").alias("orders"),
@@ -322,7 +329,7 @@ def delivery_delay_buckets(facts: DataFrame) -> DataFrame:
     return (
         delay_profile(facts)
         .groupBy(delay_bucket().alias("delay_bucket"))
-        .agg(*_summary("orders"))
+        .agg(*_delays("orders"), *_scores())
         .select("delay_bucket", F.col("n").alias("orders"), _mean_score(), _mean_delay())
     )
 

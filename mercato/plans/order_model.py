@@ -15,6 +15,8 @@ from mercato.sources.tables import Tables
 DELIVERED = "delivered"
 NOT_SOLD = ("canceled", "unavailable")
 
+ALL_PARTS = ("person", "items", "payments", "reviews")
+
 ORDER_COLUMNS = (
     "order_id",
     "customer_id",
@@ -49,17 +51,20 @@ def orders_clean(orders: DataFrame, customers: DataFrame | None = None) -> DataF
     )
 
 
-def order_analytics(tables: Tables, person: bool = True) -> DataFrame:
-    """Clean orders with item, payment and review roll-ups.
+def order_analytics(tables: Tables, parts: Sequence[str] = ALL_PARTS) -> DataFrame:
+    """Clean orders with the person and the item, payment and review roll-ups.
 
-    The three roll-ups join on the same key, so the order side is shuffled for them once.
+    ``parts`` names what the caller reads, so that a report without payments does not plan their join. The
+    roll-ups join on one key: the order side is shuffled once for all three.
     """
-    base = orders_clean(tables.orders, tables.customers if person else None)
-    return (
-        base.join(rollups.order_revenue(tables.order_items), "order_id", "left")
-        .join(rollups.order_payments(tables.order_payments), "order_id", "left")
-        .join(rollups.order_reviews(tables.order_reviews), "order_id", "left")
-    )
+    facts = orders_clean(tables.orders, tables.customers if "person" in parts else None)
+    if "items" in parts:
+        facts = facts.join(rollups.order_revenue(tables.order_items), "order_id", "left")
+    if "payments" in parts:
+        facts = facts.join(rollups.order_payments(tables.order_payments), "order_id", "left")
+    if "reviews" in parts:
+        facts = facts.join(rollups.order_reviews(tables.order_reviews), "order_id", "left")
+    return facts
 
 
 def delivered(facts: DataFrame) -> DataFrame:

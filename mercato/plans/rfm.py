@@ -48,8 +48,13 @@ def purchase_type() -> Column:
     return F.when(_is_repeat(), REPEAT).otherwise(ONE_TIME)
 
 
+def customer_frequency(facts: DataFrame) -> DataFrame:
+    """Delivered orders per known customer; ``facts`` has one row per order, so this is a row count."""
+    return _known_customers(facts).groupBy("customer_unique_id").agg(F.count("order_id").alias("frequency"))
+
+
 def customer_totals(facts: DataFrame) -> DataFrame:
-    """One row per known customer; ``facts`` has one row per order, so frequency is its row count."""
+    """Last purchase, frequency and product revenue per known customer."""
     return (
         _known_customers(facts)
         .groupBy("customer_unique_id")
@@ -69,7 +74,7 @@ def snapshot_date(facts: DataFrame) -> DataFrame:
 def frequency_distribution(facts: DataFrame) -> DataFrame:
     everything = F.sum("customer_count").over(Window.partitionBy())
     return (
-        customer_totals(facts)
+        customer_frequency(facts)
         .groupBy("frequency")
         .agg(F.count("*").alias("customer_count"))
         .withColumn("customer_share_pct", percent("customer_count", everything))
@@ -141,7 +146,7 @@ def by_score(scores: DataFrame) -> DataFrame:
 
 def repeat_purchase_rate(facts: DataFrame) -> DataFrame:
     return (
-        customer_totals(facts)
+        customer_frequency(facts)
         .agg(
             F.count("*").alias("total_customers"),
             F.count_if(_is_repeat()).alias("repeat_customers"),
