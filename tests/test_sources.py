@@ -1,0 +1,174 @@
+import datetime as dt
+
+import pytest
+from conftest import as_dicts, customer, item, money, month, only, order, product, review, translation, ts
+
+from mercato import session as session_module
+from mercato.plans import executive, marts
+from mercato.plans.order_model import order_analytics
+from mercato.schemas import TABLE_SPECS
+from mercato.sources import tables as tables_module
+
+CSV = {
+    "customers": [
+        "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state",
+        "c1,U1,01001,sao paulo,SP",
+    ],
+    "sellers": ["seller_id,seller_zip_code_prefix,seller_city,seller_state", "s,13023,campinas,SP"],
+    "products": [
+        "product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,"
+        "product_weight_g,product_length_cm,product_height_cm,product_width_cm",
+        "p,perfumaria,40,287,1,225,16,10.5,14",
+        "q,,,,,,,,",
+    ],
+    "product_category_name_translation": [
+        "product_category_name,product_category_name_english",
+        "perfumaria,perfumery",
+    ],
+    "orders": [
+        "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
+        "order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date",
+        "o1,c1,delivered,2017-10-02 10:56:33,2017-10-02 11:07:15,2017-10-04 19:55:00,2017-10-10 21:25:13,"
+        "2017-10-18 00:00:00",
+        "o2,c1,canceled,2017-10-03 10:56:33,,,,2017-10-18 00:00:00",
+    ],
+    "order_items": [
+        "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value",
+        "o1,1,p,s,2017-10-06 11:07:15,58.90,13.29",
+    ],
+    "order_payments": [
+        "order_id,payment_sequential,payment_type,payment_installments,payment_value",
+        "o1,1,credit_card,8,72.19",
+    ],
+    "order_reviews": [
+        "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,"
+        "review_answer_timestamp",
+        'r1,o1,4,,"first line, with comma',
+        'and a ""quoted"" word",2017-10-11 00:00:00,2017-10-12 03:43:48',
+    ],
+    "geolocation": [
+        "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state",
+        "1037,-23.54562128115268,-46.63929204800168,sao paulo,SP",
+    ],
+}
+
+
+@pytest.fixture
+def csv_tables(spark, tmp_path):
+    paths = {}
+    for name, lines in CSV.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join(lines) + "\n")
+        paths[name] = str(path)
+    return tables_module.tables_from_csv(spark, paths)
+
+
+def test_csv_is_read_with_declared_types(csv_tables):
+    for name, df in csv_tables.named().items():
+        assert [(f.name, f.dataType) for f in df.schema] == [
+            (f.name, f.dataType) for f in TABLE_SPECS[name].schema
+        ]
+    delivered, canceled = as_dicts(csv_tables.orders)
+    assert delivered["order_purchase_timestamp"] == ts("2017-10-02 10:56:33")
+    assert canceled["order_delivered_customer_date"] is None
+    assert only(csv_tables.order_items)["price"] == money("58.90")
+    found = only(csv_tables.order_reviews)
+    assert found["review_comment_message"] == 'first line, with comma\nand a "quoted" word'
+    assert found["review_comment_title"] is None
+    assert only(csv_tables.geolocation)["geolocation_lat"] == -23.54562128115268
+    assert only(csv_tables.customers)["customer_zip_code_prefix"] == 1001
+
+
+def test_a_malformed_value_stops_the_load(spark, tmp_path):
+    path = tmp_path / "order_items.csv"
+    path.write_text("\n".join([CSV["order_items"][0], "o1,one,p,s,2017-10-06 11:07:15,58.90,13.29"]) + "\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        tables_module.read_csv(spark, "order_items", str(path)).collect()
+
+
+def test_parquet_round_trip(spark, csv_tables, tmp_path):
+    tables_module.write_tables(csv_tables, str(tmp_path / "tables"))
+    again = tables_module.tables_from_parquet(spark, str(tmp_path / "tables"))
+    for name, df in csv_tables.named().items():
+        assert as_dicts(again.named()[name]) == as_dicts(df), name
+    assert only(executive.executive_kpis(order_analytics(again))) == only(
+        executive.executive_kpis(order_analytics(csv_tables))
+    )
+
+
+def test_table_presence(spark, csv_tables):
+    for name in TABLE_SPECS:
+        spark.catalog.dropTempView(name)
+    csv_tables.orders.createOrReplaceTempView("orders")
+    csv_tables.customers.createOrReplaceTempView("customers")
+    assert [r["table_name"] for r in as_dicts(tables_module.table_presence(spark))] == ["customers", "orders"]
+    tables_module.register_tables(csv_tables)
+    assert [r["table_name"] for r in as_dicts(tables_module.table_presence(spark))] == sorted(TABLE_SPECS)
+
+
+def _shop(make_tables):
+    return make_tables(
+        customers=[customer("c1", "U1", "AA"), customer("c2", "U2", "BB")],
+        orders=[
+            order("o1", "c1", "2020-01-05", arrived="2020-01-12", promised="2020-01-10"),
+            order("o2", "c1", "2020-03-06", arrived="2020-03-09", promised="2020-03-10"),
+            order("o3", "c2", "2020-01-07"),
+        ],
+        order_items=[item("o1", "10.00", "1.00"), item("o2", "5.00"), item("o3", "2.50", product="bare")],
+        order_reviews=[review("o1", 1), review("o2", 4)],
+        products=[product("p", "A"), product("bare", None)],
+        product_category_name_translation=[translation("A", "alpha")],
+    )
+
+
+def test_views_answer_sql(spark, make_tables):
+    names = marts.register_views(_shop(make_tables), marts.Params(min_group=1))
+    assert len(names) == 15
+    assert spark.sql("select * from vw_executive_kpis").first().product_revenue == money("17.50")
+    assert spark.sql("select count(*) from vw_order_analytics").first()[0] == 3
+    joined = spark.sql(
+        "select sum(product_revenue) from vw_product_category_performance where product_category = 'Uncategorized'"
+    )
+    assert joined.first()[0] == money("2.50")
+    assert spark.sql("select count(*) from vw_cohort_retention").first()[0] == 3
+
+
+def test_written_marts_equal_the_views(spark, make_tables, tmp_path):
+    t = _shop(make_tables)
+    params = marts.Params(snapshot=dt.date(2020, 4, 1), min_group=1)
+    paths = marts.write_marts(spark, t, str(tmp_path / "marts"), params)
+    assert len(paths) == 11
+    facts = order_analytics(t)
+    for name, build in marts.MART_VIEWS.items():
+        stored = sorted(map(str, as_dicts(spark.read.parquet(paths[name]))))
+        assert stored == sorted(map(str, as_dicts(build(facts, t, params)))), name
+    grid = spark.read.parquet(paths["vw_cohort_retention"]).where("month_number = 3").collect()
+    assert [r.cohort_month for r in grid] == [month("2020-01")]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
+    class Context:
+        master = "spark://cluster:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, settings):
+            self.sparkContext, self.conf = Context(), settings
+
+    shared = Session({"spark.checkpoint.dir": "s3a://bucket/checkpoints"})
+    session_module.ensure_checkpoint_dir(shared)
+    assert shared.sparkContext.folder == "s3a://bucket/checkpoints"
+    # A cluster without a shared folder gets an error, never a folder of one machine.
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session_module.ensure_checkpoint_dir(Session({}))
+    local = Session({})
+    local.sparkContext.master = "local[2]"
+    session_module.ensure_checkpoint_dir(local)
+    assert local.sparkContext.folder
+    assert "checkpoint" in spark.sparkContext.getCheckpointDir()
