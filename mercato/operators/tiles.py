@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.session import durable
@@ -16,47 +18,57 @@ _ROW_BITS = 33
 def with_tiles(df: DataFrame, orders: Mapping[str, Sequence[Column]], n: int) -> DataFrame:
     """Add one ``ntile(n)`` column per entry of ``orders``.
 
-    A window without PARTITION BY would sort every row in a single task. Here Spark sorts the table
-    over range partitions, so a row's position is its row number in its partition plus the number of rows in
-    the partitions before it. ``orders`` must end in a unique key: it makes the result repeatable, and it lets
-    the range partitioner cut through a value that most rows share.
+    A window without PARTITION BY would sort every row in a single task. Here Spark sorts the table over range
+    partitions and numbers the rows of each; these marks rise with the sort order, so a tile is found by comparing a
+    row's mark with the marks at which the tiles start. ``orders`` must end in a unique key: it makes the result
+    repeatable, and it lets the range partitioner cut through a value that most rows share.
 
-    The sorted rows are written to the checkpoint folder once, because two evaluations of a sort may
-    choose different range bounds.
+    The sorted rows are written to the checkpoint folder once, because two evaluations of a sort may choose
+    different range bounds.
     """
     marked = df
     for name, keys in orders.items():
         marked = marked.orderBy(*keys).withColumn(_mark(name), F.monotonically_increasing_id())
-    result = durable(marked)
-
-    for name in orders:
-        part = F.shiftright(_mark(name), _ROW_BITS).alias("_part")
-        sizes = result.groupBy(part).agg(F.count("*").alias("_rows"))
-        # One row per sort partition, so at most spark.sql.shuffle.partitions rows.
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sizes.select(
-            "_part",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-            F.sum("_rows").over(Window.partitionBy()).alias("_total"),
-        )
-        in_part = F.col(_mark(name)).bitwiseAND((1 << _ROW_BITS) - 1)
-        result = (
-            result.withColumn("_part", part)
-            .join(F.broadcast(starts), "_part")
-            .withColumn("_pos", F.col("_start") + in_part)
-            .withColumn("_size", F.expr(f"_total div {n}"))
-            .withColumn("_big", F.expr(f"(_total % {n}) * (_size + 1)"))
-            .withColumn(
-                name,
-                # The first total % n tiles hold one row more than the others.
-                F.when(F.col("_pos") < F.col("_big"), F.expr("_pos div (_size + 1) + 1"))
-                .otherwise(F.expr(f"_total % {n} + (_pos - _big) div greatest(_size, 1) + 1"))
-                .cast("int"),
-            )
-            .drop("_part", "_start", "_total", "_pos", "_size", "_big", _mark(name))
-        )
-    return result
+    marked = durable(marked)
+
+    starts = _tile_starts(marked, list(orders), n)
+    tiles = {
+        name: reduce(add, [(F.col(_mark(name)) >= s).cast("int") for s in starts[name]], F.lit(1))
+        for name in orders
+    }
+    return marked.withColumns(tiles).drop(*[_mark(name) for name in orders])
 
 
 def _mark(name: str) -> str:
     return f"_mark_{name}"
+
+
+def _tile_starts(marked: DataFrame, names: list[str], n: int) -> dict[str, list[int]]:
+    """Marks of the first row of tiles 2..n, per order.
+
+    Only the sizes of the sort partitions reach the driver: at most spark.sql.shuffle.partitions rows per order.
+    """
+    parts = [F.struct(F.lit(name).alias("name"), F.shiftright(_mark(name), _ROW_BITS).alias("part")) for name in names]
+    sizes = (
+        marked.select(F.explode(F.array(*parts)).alias("p"))
+        .groupBy("p.name", "p.part")
+        .agg(F.count("*").alias("rows"))
+        .collect()
+    )
+    return {
+        name: list(_start_marks(sorted((r.part, r.rows) for r in sizes if r.name == name), n))
+        for name in names
+    }
+
+
+def _start_marks(sizes: list[tuple[int, int]], n: int) -> Iterator[int]:
+    total = sum(rows for _, rows in sizes)
+    quota, larger = divmod(total, n)
+    # The first ``larger`` tiles hold one row more than the others.
+    positions = [tile * quota + min(tile, larger) for tile in range(1, n)]
+    before = 0
+    for part, rows in sizes:
+        for position in positions:
+            if before <= position < before + rows:
+                yield (part << _ROW_BITS) + position - before
+        before += rows
