@@ -222,8 +222,9 @@ _CUSTOMER_RFM = f"""customer_view AS (
          CAST((SELECT MAX(purchase_date) FROM known) - MAX(purchase_date) AS INTEGER) AS recency_days,
          CASE WHEN COUNT(*) > 1 THEN 'Repeat Customer' ELSE 'One-Time Customer' END AS customer_type
   FROM done GROUP BY customer_unique_id)"""
-_BY_COUNT = "COUNT(*) FILTER (frequency >= 2) AS repeat_customers, COUNT(*) FILTER (frequency = 1) AS one_time_customers"
-_VALUE = f"""COUNT(*) FILTER (frequency >= 2) AS repeat_customers, {_money("SUM(monetary)")} AS total_monetary,
+_BY_COUNT = """COUNT(*) FILTER (WHERE frequency >= 2) AS repeat_customers,
+    COUNT(*) FILTER (WHERE frequency = 1) AS one_time_customers"""
+_VALUE = f"""COUNT(*) FILTER (WHERE frequency >= 2) AS repeat_customers, {_money("SUM(monetary)")} AS total_monetary,
     {ratio("SUM(monetary)", "COUNT(monetary)")} AS avg_customer_value"""
 
 
@@ -237,8 +238,8 @@ def _rfm() -> dict[str, str]:
         "rfm_scores": f"""WITH {_SCORED} SELECT {metrics}, recency_score, monetary_score,
             CAST(recency_score * 10 + monetary_score AS VARCHAR) AS rm_score FROM scored""",
         "repeat_purchase_rate": f"""WITH {_PEOPLE} SELECT COUNT(*) AS total_customers, {_BY_COUNT},
-            {pct("COUNT(*) FILTER (frequency >= 2)", "COUNT(*)")} AS repeat_purchase_rate_pct,
-            {pct("COUNT(*) FILTER (frequency = 1)", "COUNT(*)")} AS one_time_customer_rate_pct FROM people""",
+            {pct("COUNT(*) FILTER (WHERE frequency >= 2)", "COUNT(*)")} AS repeat_purchase_rate_pct,
+            {pct("COUNT(*) FILTER (WHERE frequency = 1)", "COUNT(*)")} AS one_time_customer_rate_pct FROM people""",
         "rfm_segments": f"""WITH {_SEGMENTED} SELECT {metrics}, recency_score, monetary_score, customer_segment,
             purchase_type FROM segmented""",
         "rfm_segment_summary": f"""WITH {_SEGMENTED} SELECT customer_segment, COUNT(*) AS customers,
@@ -260,8 +261,8 @@ def _rfm() -> dict[str, str]:
             MAX(snapshot_date) AS snapshot_date FROM aged""",
         "customer_rfm": f"WITH {_CUSTOMER_RFM} SELECT * FROM customer_view",
         "rfm_totals_check": f"""WITH {_CUSTOMER_RFM} SELECT COUNT(*) AS customers,
-            COUNT(*) FILTER (customer_type = 'Repeat Customer') AS repeat_customers,
-            COUNT(*) FILTER (customer_type = 'One-Time Customer') AS one_time_customers FROM customer_view""",
+            COUNT(*) FILTER (WHERE customer_type = 'Repeat Customer') AS repeat_customers,
+            COUNT(*) FILTER (WHERE customer_type = 'One-Time Customer') AS one_time_customers FROM customer_view""",
     }
 
 
@@ -293,7 +294,7 @@ _RETENTION = f"""{_COHORTS}, grid AS (
 def _cohorts() -> dict[str, str]:
     everything = f"WITH {_RETENTION} SELECT * FROM retention"
     best = ", ".join(
-        f"CAST(MAX(retention_pct) FILTER (month_number = {n}) AS DECIMAL(10,2)) AS month_{n}_retention_pct"
+        f"CAST(MAX(retention_pct) FILTER (WHERE month_number = {n}) AS DECIMAL(10,2)) AS month_{n}_retention_pct"
         for n in (1, 2, 3)
     )
     return {
@@ -312,7 +313,7 @@ def _cohorts() -> dict[str, str]:
         "cohort_view_listing": everything,
         "cohort_retention_bi": everything,
         "cohort_month0_check": f"""WITH {_RETENTION} SELECT COUNT(*) AS cohorts,
-            COUNT(*) FILTER (retention_pct = 100) AS full_retention_month_0 FROM retention WHERE month_number = 0""",
+            COUNT(*) FILTER (WHERE retention_pct = 100) AS full_retention_month_0 FROM retention WHERE month_number = 0""",
         "retention_curve": f"""WITH {_RETENTION} SELECT month_number,
             {_whole("SUM(active_customers)")} AS active_customers,
             {_whole("SUM(cohort_customers)")} AS eligible_cohort_customers,
@@ -321,7 +322,7 @@ def _cohorts() -> dict[str, str]:
         "cohort_maturity": f"""WITH {_RETENTION} SELECT cohort_month, MAX(month_number) AS available_months,
             MAX(cohort_customers) AS cohort_customers FROM retention GROUP BY cohort_month""",
         "retention_summary": f"""WITH {_RETENTION} SELECT COUNT(DISTINCT cohort_month) AS total_cohorts,
-            {_whole("SUM(cohort_customers) FILTER (month_number = 0)")} AS total_customers, {best} FROM retention""",
+            {_whole("SUM(cohort_customers) FILTER (WHERE month_number = 0)")} AS total_customers, {best} FROM retention""",
         "cohort_bounds_check": f"""WITH {_RETENTION} SELECT COUNT(DISTINCT cohort_month) AS number_of_cohorts,
             MIN(month_number) AS minimum_month_number, MAX(month_number) AS maximum_month_number FROM retention""",
     }
@@ -340,11 +341,11 @@ _MEDIAN = "CAST(quantile_cont(delivery_delay_days, 0.5) AS DECIMAL(10,2)) AS med
 
 def _avg_score(name: str = "average_review_score", where: str = "TRUE") -> str:
     score = "average_review_score"
-    return f"{rate(f'SUM({score}) FILTER ({where})', f'COUNT({score}) FILTER ({where})')} AS {name}"
+    return f"{rate(f'SUM({score}) FILTER (WHERE {where})', f'COUNT({score}) FILTER (WHERE {where})')} AS {name}"
 
 
-_RATES = f"""COUNT(*) FILTER ({_LATE}) AS late_orders,
-    {pct(f"COUNT(*) FILTER ({_LATE})", "COUNT(*)")} AS late_delivery_rate_pct, {_avg_score()},
+_RATES = f"""COUNT(*) FILTER (WHERE {_LATE}) AS late_orders,
+    {pct(f"COUNT(*) FILTER (WHERE {_LATE})", "COUNT(*)")} AS late_delivery_rate_pct, {_avg_score()},
     {_avg_score("late_order_review_score", _LATE)}, {_avg_score("on_time_review_score", f"NOT ({_LATE})")}"""
 _PAIRS = """pairs AS (
   SELECT DISTINCT order_id, product_category_name FROM t_items JOIN t_products USING (product_id)
@@ -380,10 +381,10 @@ def _delivery() -> dict[str, str]:
             COUNT(CASE WHEN average_review_score IS NOT NULL THEN delivery_delay_days END)
               AS orders_with_delivery_and_review FROM done""",
         "delivery_date_checks": """SELECT COUNT(*) AS delivered_orders,
-            COUNT(*) FILTER (order_delivered_customer_date < order_purchase_timestamp) AS delivered_before_purchase,
-            COUNT(*) FILTER (order_delivered_customer_date < order_approved_at) AS delivered_before_approval,
-            COUNT(*) FILTER (order_delivered_customer_date > order_estimated_delivery_date) AS late_orders,
-            COUNT(*) FILTER (order_delivered_customer_date <= order_estimated_delivery_date)
+            COUNT(*) FILTER (WHERE order_delivered_customer_date < order_purchase_timestamp) AS delivered_before_purchase,
+            COUNT(*) FILTER (WHERE order_delivered_customer_date < order_approved_at) AS delivered_before_approval,
+            COUNT(*) FILTER (WHERE order_delivered_customer_date > order_estimated_delivery_date) AS late_orders,
+            COUNT(*) FILTER (WHERE order_delivered_customer_date <= order_estimated_delivery_date)
               AS on_time_or_early_orders
             FROM done WHERE order_delivered_customer_date IS NOT NULL AND order_estimated_delivery_date IS NOT NULL""",
         "delay_distribution": f"""WITH {_DELAYED} SELECT COUNT(*) AS orders,
@@ -432,14 +433,14 @@ _KPIS = f"""kpis AS (
          {ratio("SUM(total_order_value)", "COUNT(total_order_value)")} AS average_order_value,
          (SELECT COUNT(*) FROM (SELECT customer_unique_id FROM done GROUP BY 1 HAVING COUNT(*) > 1))
            AS repeat_customers,
-         {pct(f"COUNT(*) FILTER ({_LATE})", "COUNT(delivery_delay_days)")} AS late_delivery_rate_pct, {_avg_score()}
+         {pct(f"COUNT(*) FILTER (WHERE {_LATE})", "COUNT(delivery_delay_days)")} AS late_delivery_rate_pct, {_avg_score()}
   FROM done)"""
 _MONTHS = f"""months AS (
   SELECT purchase_month, COUNT(*) AS orders, COUNT(DISTINCT customer_unique_id) AS customers,
          {_money("SUM(product_revenue)")} AS product_revenue, {_money("SUM(total_order_value)")} AS total_order_value,
          {ratio("SUM(total_order_value)", "COUNT(total_order_value)")} AS average_order_value, {_avg_score()},
-         COUNT(*) FILTER ({_LATE}) AS late_orders, COUNT(delivery_delay_days) AS orders_with_delivery_data,
-         {pct(f"COUNT(*) FILTER ({_LATE})", "COUNT(delivery_delay_days)")} AS late_delivery_rate_pct
+         COUNT(*) FILTER (WHERE {_LATE}) AS late_orders, COUNT(delivery_delay_days) AS orders_with_delivery_data,
+         {pct(f"COUNT(*) FILTER (WHERE {_LATE})", "COUNT(delivery_delay_days)")} AS late_delivery_rate_pct
   FROM done GROUP BY purchase_month)"""
 
 
@@ -475,12 +476,13 @@ def _executive() -> dict[str, str]:
         "avg_orders": ratio("SUM(frequency)", "COUNT(*)"),
     }
     by_type = " UNION ALL ".join(
-        f"SELECT customer_type || ': {name}' AS metric, {_money(expr)} AS value FROM customer_view GROUP BY customer_type"
+        f"SELECT customer_type || ': {name}' AS metric, {_money(expr)} AS value FROM customer_view"
+        " GROUP BY customer_type"
         for name, expr in measures.items()
     )
     tops = " UNION ALL ".join(
         f"SELECT 'top {n} category share pct' AS metric,"
-        f" {_money(pct(f'SUM(revenue) FILTER (place <= {n})', 'SUM(revenue)'))} AS value FROM ranked"
+        f" {_money(pct(f'SUM(revenue) FILTER (WHERE place <= {n})', 'SUM(revenue)'))} AS value FROM ranked"
         for n in (5, 10)
     )
     return {

@@ -57,8 +57,18 @@ class Tables:
         return {name: self._open(name) for name in TABLE_SPECS}
 
 
-def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One table from CSV with its declared schema; a value of the wrong type stops the load."""
+# The only table whose text may hold line breaks.
+FREE_TEXT_TABLE = "order_reviews"
+
+
+def read_csv(spark: SparkSession, name: str, path: str, multiline: bool | None = None) -> DataFrame:
+    """One table from CSV with its declared schema; a value of the wrong type stops the load.
+
+    ``path`` may be a folder. A quoted line break keeps Spark from splitting a file, so review files, by default
+    read with ``multiline``, are best delivered as many files; pass False where comments are single lines.
+    """
+    if multiline is None:
+        multiline = name == FREE_TEXT_TABLE
     return (
         spark.read.schema(TABLE_SPECS[name].schema)
         .option("header", True)
@@ -66,8 +76,7 @@ def read_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
         .option("mode", "FAILFAST")
         .option("escape", '"')
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        # Only review comments hold line breaks; every other file stays splittable.
-        .option("multiLine", name == "order_reviews")
+        .option("multiLine", multiline)
         .csv(path)
     )
 

@@ -24,7 +24,9 @@ def test_average_is_rounded_once(spark):
 def test_zero_and_missing_divisors_give_null(spark):
     row = only(
         spark.sql("select 5 as a, 0 as zero, cast(null as bigint) as missing").select(
-            rounded_ratio("a", "zero").alias("x"), percent("a", "missing").alias("y"), percent("missing", "a").alias("z")
+            rounded_ratio("a", "zero").alias("x"),
+            percent("a", "missing").alias("y"),
+            percent("missing", "a").alias("z"),
         )
     )
     assert row == {"x": None, "y": None, "z": None}

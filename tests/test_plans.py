@@ -191,7 +191,9 @@ def test_hot_product_and_hot_order_give_whole_results(spark):
     orders = spark.createDataFrame([(o,) for o in sorted({r[0] for r in rows})], "order_id string")
     label = {p: None if p == "p0" else f"k{len(p)}" for p in {r[2] for r in rows}}
     products = spark.createDataFrame(list(label.items()), "product_id string, product_category_name string")
-    names = spark.createDataFrame([("k3", "three")], "product_category_name string, product_category_name_english string")
+    names = spark.createDataFrame(
+        [("k3", "three")], "product_category_name string, product_category_name_english string"
+    )
 
     got = {
         r["category"]: (r["revenue"], r["orders"], r["items_sold"])

@@ -11,7 +11,11 @@ from mercato.plans.order_model import delivered, order_analytics, sold
 def gap(make_tables):
     """Sales in October and December, nothing in November."""
     t = make_tables(
-        orders=[order("o1", "c", "2020-10-05"), order("o2", "c", "2020-12-05"), order("o3", "c", "2020-11-01", "canceled")],
+        orders=[
+            order("o1", "c", "2020-10-05"),
+            order("o2", "c", "2020-12-05"),
+            order("o3", "c", "2020-11-01", "canceled"),
+        ],
         order_items=[item("o1", "100.00"), item("o2", "150.00"), item("o3", "9.00")],
     )
     return order_analytics(t, ("items",))
