@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mercato.llm.common import table
 from mercato.llm.exact_dedup import exact_dedup
+from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
 from mercato.llm.sharding import shard
 
@@ -28,11 +29,16 @@ def op8_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
         op4_minimax_shards,
         op8_bloom_exact_dedup,
+        op9_license_scan,
     )
 }
