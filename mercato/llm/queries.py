@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mercato.llm.common import table
+from mercato.llm import quality, toxicity
+from mercato.llm.common import remainder_of_id, table
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
@@ -23,6 +25,30 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents are kept when grade 1 or higher is at least as likely as not.
+QUALITY_KEEP = 0.5
+
+
+def grade_of_labels() -> Column:
+    """The grade that ``labels`` give: 0 poor, 1 well written but toxic, 2 well written."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), grade_of_labels(), top=2)
+    return quality.score(docs, model).withColumn("kept", F.col("tails")[0] >= QUALITY_KEEP)
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir).select(
+        "doc_id",
+        "expected_grade",
+        F.col("tails")[0].alias("p_grade_1"),
+        F.col("tails")[1].alias("p_grade_2"),
+        "kept",
+    )
+
+
 def op8_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -33,12 +59,23 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder_of_id("doc_id", 5) == 0
+    lexicon = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels"), F.col("toxic"))
+    return toxicity.score(docs, lexicon).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "score", "predicted", "matched", "words"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
         op4_minimax_shards,
+        op7_ordinal_quality,
         op8_bloom_exact_dedup,
         op9_license_scan,
+        op10_toxicity_lexicon,
     )
 }
