@@ -13,12 +13,17 @@ from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
 from mercato.llm.sharding import shard
+from mercato.llm.token_counts import histogram, lengths, suffix_sums
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
+
+
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op3_token_lengths,
         op4_minimax_shards,
         op7_ordinal_quality,
         op8_bloom_exact_dedup,
