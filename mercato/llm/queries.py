@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import quality, toxicity
+from mercato.llm import language_model, quality, toxicity
 from mercato.llm.common import remainder_of_id, table
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.licenses import scan
@@ -30,6 +30,19 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = remainder_of_id("doc_id", 7) != 2
+    return language_model.score(table(spark, sf_dir, "documents"), training).select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 #: Documents are kept when grade 1 or higher is at least as likely as not.
 QUALITY_KEEP = 0.5
 
@@ -79,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_mix_sources,
         op3_token_lengths,
         op4_minimax_shards,
+        op6_backoff_lm,
         op7_ordinal_quality,
         op8_bloom_exact_dedup,
         op9_license_scan,
