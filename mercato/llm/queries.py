@@ -12,6 +12,7 @@ from mercato.llm.common import remainder_of_id, table
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
+from mercato.llm.near_dedup import near_dedup
 from mercato.llm.sharding import shard
 from mercato.llm.token_counts import histogram, lengths, suffix_sums
 
@@ -20,6 +21,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "class_size", "kept"
+    )
+
+
 def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
 
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_weighted_minhash_dedup,
         op3_token_lengths,
         op4_minimax_shards,
         op6_backoff_lm,
