@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm import language_model, quality, toxicity
 from mercato.llm.common import remainder_of_id, table
+from mercato.llm.decontaminate import decontaminate
 from mercato.llm.exact_dedup import exact_dedup
 from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
@@ -37,6 +38,12 @@ def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "contaminated", "items", "coverage"
+    )
+
+
 def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = remainder_of_id("doc_id", 7) != 2
     return language_model.score(table(spark, sf_dir, "documents"), training).select(
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_weighted_minhash_dedup,
         op3_token_lengths,
         op4_minimax_shards,
+        op5_template_decontamination,
         op6_backoff_lm,
         op7_ordinal_quality,
         op8_bloom_exact_dedup,
