@@ -17,6 +17,8 @@ BROADCAST_WINDOWS = 1_000_000
 MARK = "ǂ"
 #: Joins the parts of a decimal number into one token.
 POINT = "ˑ"
+#: ASCII, Latin-1 and general punctuation parts words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F]+"
 
 # Units that follow a number.
 UNITS = (
@@ -34,34 +36,37 @@ NUMBER_WORDS = (
 
 
 def tokens(text: Column) -> Column:
-    """Words of a text in their own case; names and units carry a mark.
+    """Lower-cased words of a text; names and units carry a mark.
 
     A name is a capitalised word after a word or a comma on the same line, so the first word of a sentence is none. A unit follows a number.
     """
-    joined = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT)
-    named = F.regexp_replace(joined, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", f"{MARK}p")
-    measured = F.regexp_replace(named, rf"(?<=[0-9]) ?(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f" {MARK}u")
-    return F.filter(F.split(measured, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # Each pattern begins with what is rare, so most characters are passed over at once.
+    joined = F.regexp_replace(text, r"[.,](?<=[0-9].)(?=[0-9])", POINT)
+    named = F.regexp_replace(joined, r" (?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )", f" {MARK}p")
+    measured = F.regexp_replace(named, rf"([0-9]) ?(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1 {MARK}u")
+    return F.filter(F.split(F.lower(measured), SEPARATORS), lambda w: w != "")
 
 
-def slot(word: Column) -> Column:
-    """The type of a token's slot: name, unit or number; null for other words."""
+def shape_of(word: Column) -> Column:
+    """A token, or the type of the slot that it fills: name, unit or number."""
     return (
-        F.when(word.startswith(f"{MARK}p"), f"{MARK}p")
-        .when(word.startswith(f"{MARK}u"), f"{MARK}u")
-        .when(((word >= "0") & (word < ":")) | F.lower(word).isin(*NUMBER_WORDS), f"{MARK}n")
+        F.when(word.startswith(MARK), F.substring(word, 1, 2))
+        .when(((word >= "0") & (word < ":")) | word.isin(*NUMBER_WORDS), f"{MARK}n")
+        .otherwise(word)
     )
 
 
 def template(listed: str) -> Column:
     """Tokens with every slot replaced by its type."""
-    return F.transform(listed, lambda w: F.coalesce(slot(w), F.lower(w)))
+    return F.transform(listed, shape_of)
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """Every window of every row's ``shape``: the other columns, ``at`` and ``window`` (a hash)."""
-    others = [c for c in rows.columns if c not in ("words", "shape")]
-    hashed = rows.where(F.size("shape") >= WINDOW).select(*others, F.transform("shape", lambda w: F.xxhash64(w)).alias("h"))
+    """Every template window of every row's ``words``: the other columns, ``at`` and ``window`` (a hash)."""
+    others = [c for c in rows.columns if c != "words"]
+    hashed = rows.where(F.size("words") >= WINDOW).select(
+        *others, F.transform("words", lambda w: F.xxhash64(shape_of(w))).alias("h")
+    )
     rolled = F.transform(
         F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(WINDOW)))
     )
@@ -76,8 +81,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     ``consistency`` the part of its slots that fit one substitution, by which equal values of the item become equal values in the document
     and different ones stay different.
     """
-    source = docs.select(F.col(key).alias("key"), whole(text).alias("text"))
-    source = source.select("key", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("text_hash"), whole(text).alias("text"))
     items = (
         benchmark.where(F.col("item_id").isNotNull())
         .select("item_id", tokens(whole()).alias("words"))
@@ -87,17 +91,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
         # Items of one id with different texts are told apart by their words.
         .withColumn("item_hash", F.xxhash64("words"))
     )
-    known = windows(items.select("item_id", "item_hash", "shape")).withColumnRenamed("at", "place")
+    known = windows(items.select("item_id", "item_hash", "words")).withColumnRenamed("at", "place")
     if known.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    found = windows(source.select("key", "text_hash", template("words").alias("shape"))).join(known, "window")
+    found = windows(source.select("key", "text_hash", tokens(F.col("text")).alias("words"))).join(known, "window")
     of = ["key", "text_hash", "item_id", "item_hash"]
     votes = found.groupBy(*of, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count_distinct("place").alias("votes"))
     best = votes.groupBy(*of).agg(F.max(F.struct("votes", (-F.col("diagonal")).alias("back"))).alias("best"))
     candidates = best.select(*of, (-F.col("best.back")).alias("diagonal"))
 
-    texts = source.distinct().withColumnsRenamed({"key": "k", "text_hash": "t"})
-    met = candidates.join(texts, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("t"))).join(
+    # Only the texts of candidates are cut into tokens again.
+    texts = source.withColumnsRenamed({"key": "k", "text_hash": "t"})
+    met = candidates.join(texts, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("t")))
+    met = met.select(*of, "diagonal", tokens(F.col("text")).alias("words")).join(
         items.select("item_id", "item_hash", F.col("words").alias("item"), F.col("shape").alias("item_shape")),
         ["item_id", "item_hash"],
     )
@@ -112,7 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
             "item_shape",
             lambda w, i: F.when(
                 w.startswith(MARK) & (w == F.get("shape", i)),
-                F.struct(F.lower(F.get("item", i)).alias("a"), F.lower(F.get("there", i)).alias("b")),
+                F.struct(F.get("item", i).alias("a"), F.get("there", i).alias("b")),
             ),
         ),
         lambda p: p.isNotNull(),
