@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.llm.common import Stored, table
+from mercato.llm.decontaminate import decontaminate
 from mercato.llm.mixing import emit, mix
+from mercato.llm.near_dedup import near_dedup
+from mercato.llm.queries import quality_scores
 from mercato.llm.sharding import shard
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of grade 1 or higher, by a model fitted on the labelled ones among them."""
+    return quality_scores(spark, docs, sf_dir).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near copies."""
+    return near_dedup(docs).where("kept").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, re-parameterised ones included."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return emit(mix(docs), docs.columns)
@@ -20,6 +38,9 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("keep_quality", keep_quality),
+    ("drop_near_copies", drop_near_copies),
+    ("drop_benchmark", drop_benchmark),
     ("mix_sources", mix_sources),
     ("cut_shards", cut_shards),
 ]
