@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -70,8 +69,9 @@ class CumulativeLink:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int) -> CumulativeLink:
     """Maximum likelihood with a ridge by Adam over all rows; thresholds are a first one plus positive gaps, so they stay ordered."""
-    index = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int32)
-    value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, dtype=np.float32)
+    # The empty array first gives texts without words, and no texts at all, the right types.
+    index = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r[0], np.int32) for r in rows)])
+    value = np.concatenate([np.zeros(0, np.float32), *(np.asarray(r[1], np.float32) for r in rows)])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     weights = np.zeros(DIMENSIONS)
     base = np.concatenate([[0.0], np.zeros(top - 1)])
@@ -111,20 +111,22 @@ def learn(docs: DataFrame, labels: DataFrame, grade: Column, top: int, rows: int
     """Fit on at most ``rows`` rated texts; grades run from 0 to ``top``. Without ratings every grade is as likely as the start values say."""
     sample = labelled_sample(docs, labels, grade, rows)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for batch in batches:
-            found = [vector(t, vocabulary) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "at": [crc32(t.encode()) for t in batch["text"]],
-                    "index": [f[0] for f in found],
-                    "value": [f[1] for f in found],
-                    "label": batch["label"],
-                }
+            texts = batch.column("text").to_pylist()
+            found = [vector(t, vocabulary) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([crc32(t.encode()) for t in texts], pa.int64()),
+                    pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                    pa.array([f[1] for f in found], pa.list_(pa.float32())),
+                    batch.column("label"),
+                ],
+                names=["at", "index", "value", "label"],
             )
 
-    fetched = sample.mapInPandas(vectors, "at long, index array<int>, value array<float>, label int").toPandas()
+    fetched = sample.mapInArrow(vectors, "at long, index array<int>, value array<float>, label int").toPandas()
     fetched = fetched.sort_values(["at", "label"], kind="stable")
     grades = np.clip(fetched["label"].to_numpy(dtype=np.int64), 0, top)
     return fit(list(zip(fetched["index"], fetched["value"], strict=True)), grades, top)

@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,16 +115,17 @@ def probability(points: np.ndarray, calibration: Sequence[float]) -> np.ndarray:
 def learn_terms(sample: DataFrame) -> dict[str, float]:
     """Log-odds of the terms that mark toxic texts; counts are summed per task and then by Spark."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                (toxic if label == 1 else clean).update(terms_of(text))
+            for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
+                (toxic if label.as_py() == 1 else clean).update(terms_of(text.as_py()))
         names = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"term": names, "toxic": [toxic[n] for n in names], "clean": [clean[n] for n in names]})
+        sums = [pa.array([c[n] for n in names], pa.int64()) for c in (toxic, clean)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *sums], names=["term", "toxic", "clean"])
 
     sizes = sample.agg(F.count(F.when(F.col("label") == 1, 1)).alias("t"), F.count(F.when(F.col("label") != 1, 1)).alias("c")).first()
-    counted = sample.mapInPandas(count, "term string, toxic long, clean long")
+    counted = sample.mapInArrow(count, "term string, toxic long, clean long")
     odds = F.log((F.col("toxic") + 0.5) / (sizes["t"] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes["c"] + 1.0))
     listed = (
         counted.groupBy("term")
@@ -160,14 +160,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: Column, rows: int = FIT_ROW
     sample = labelled_sample(docs, labels, label, rows).persist()
     lexicon = Lexicon(learn_terms(sample), exceptions)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.matcher()
         for batch in batches:
-            found = [measures(w, n) for w, _, n in (evidence(t, automaton) for t in batch["text"])]
-            yield pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found], "label": batch["label"]})
+            found = [measures(w, n) for w, _, n in (evidence(t.as_py(), automaton) for t in batch.column("text"))]
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("label")], names=["a", "b", "label"])
 
     # At most ``rows`` rows of three numbers; grouped, as most texts have no evidence at all.
-    points = sample.mapInPandas(measure, "a double, b double, label int").groupBy("a", "b", "label").count().toPandas()
+    points = sample.mapInArrow(measure, "a double, b double, label int").groupBy("a", "b", "label").count().toPandas()
     sample.unpersist()
     if len(points):
         repeated = points.loc[points.index.repeat(points["count"])]
