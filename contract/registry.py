@@ -11,7 +11,6 @@ from contract.mapping import load_tables
 from mercato.operators import checks, rollups
 from mercato.plans import categories, cohorts, delivery, executive, quality, reconciliation, revenue, rfm
 from mercato.plans.order_model import delivered, order_analytics, orders_clean, sold
-from mercato.session import durable
 from mercato.sources.tables import Tables
 
 # Calendar given wider than the data, as a report with fixed bounds would.
@@ -70,32 +69,6 @@ def _retention(t: Tables) -> DataFrame:
     return cohorts.cohort_retention(_customer_orders(t))
 
 
-def _reconcile(t: Tables) -> DataFrame:
-    # Four layers read the delivered orders: write their narrow join once.
-    facts = durable(
-        delivered(_delivered_layer(t)).select(
-            "order_id",
-            "order_status",
-            "customer_unique_id",
-            "purchase_month",
-            "purchase_date",
-            "delivery_delay_days",
-            "product_revenue",
-            "total_order_value",
-            "average_review_score",
-        )
-    )
-    return reconciliation.reconcile(
-        executive=executive.executive_kpis(facts),
-        monthly=executive.monthly_totals_check(executive.monthly_business_performance(facts)),
-        customers=rfm.rfm_totals_check(rfm.customer_rfm(facts)),
-        segments=rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(facts))),
-        categories=_performance(t),
-        order_view_revenue=revenue.revenue_check_view(_order_values(t)),
-        raw_item_revenue=revenue.revenue_check_raw(t.order_items, t.orders),
-    )
-
-
 def _extras(t: Tables) -> DataFrame:
     totals = categories.category_totals(
         t.order_items,
@@ -203,8 +176,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "delivery_state": _state,
     "delivery_category": _category,
     "delivery_view_row_counts": _view_counts,
-    "delivery_satisfaction_listing": lambda t: delivery.delivery_satisfaction(_order_reviews(t)).orderBy(
-        "delivery_status"
+    "delivery_satisfaction_listing": lambda t: delivery.by_status(
+        delivery.delivery_satisfaction(_order_reviews(t))
     ),
     "delay_buckets_listing": lambda t: delivery.by_severity(
         delivery.delivery_delay_buckets(_order_reviews(t))
@@ -222,7 +195,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "rfm_totals_check": lambda t: rfm.rfm_totals_check(rfm.customer_rfm(_customer_values(t))),
     "cohort_bounds_check": lambda t: cohorts.cohort_bounds_check(_retention(t)),
-    "reconcile": _reconcile,
+    "reconcile": reconciliation.reconcile_tables,
     "dashboard_extras": _extras,
 }
 

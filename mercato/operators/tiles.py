@@ -1,74 +1,114 @@
-"""Exact NTILE over a whole table without moving it into one task."""
+"""Exact NTILE over a whole table by the keys at which its tiles start."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercato.session import durable
+# Values are compared as decimals of this type, dates as days.
+_SORT_TYPE = "decimal(38,6)"
+# Steps of the coarse scale per doubling of a value: at most some ten thousand steps exist, whatever the table's size.
+_STEPS = 64
+# Characters by which rows of one value are told apart, beyond those that all keys begin with.
+_PREFIX = 4
 
-# monotonically_increasing_id() puts the partition number above bit 33 and the row number below.
-_ROW_BITS = 33
 
+@dataclass(frozen=True)
+class TileOrder:
+    """Sort order of one NTILE: a numeric or date column, then the key."""
 
-def with_tiles(df: DataFrame, orders: Mapping[str, Sequence[Column]], n: int) -> DataFrame:
-    """Add one ``ntile(n)`` column per entry of ``orders``.
+    value: str
+    descending: bool = False
+    nulls_first: bool = False
 
-    A window without PARTITION BY would sort every row in a single task. Here Spark sorts the table over range
-    partitions and numbers the rows of each; these marks rise with the sort order, so a tile is found by comparing a
-    row's mark with the marks at which the tiles start. ``orders`` must end in a unique key: it makes the result
-    repeatable, and it lets the range partitioner cut through a value that most rows share.
 
-    The sorted rows are written to the checkpoint folder once, because two evaluations of a sort may choose
-    different range bounds.
+def with_tiles(df: DataFrame, key: str, orders: Mapping[str, TileOrder], n: int) -> DataFrame:
+    """Add one ``ntile(n)`` column per entry of ``orders``; ``key`` is a unique string that settles ties.
+
+    A window without PARTITION BY would sort every row in a single task. Here only the first row of each tile is looked
+    for, by counting: over a coarse scale of the values, then over the values of the steps that hold a start, then over
+    the beginnings of the keys of those values, then among the few rows that are left. A row's tile follows from
+    comparing its value and key with at most ``n - 1`` starting rows. All of it is one lazy plan that gives the
+    same result for any partitioning; nothing is sorted as a whole, stored, or brought to the driver.
     """
-    marked = df
-    for name, keys in orders.items():
-        marked = marked.orderBy(*keys).withColumn(_mark(name), F.monotonically_increasing_id())
-    marked = durable(marked)
-
-    starts = _tile_starts(marked, list(orders), n)
-    tiles = {
-        name: reduce(add, [(F.col(_mark(name)) >= s).cast("int") for s in starts[name]], F.lit(1))
+    rows = df.select(F.explode(F.array(*[_row(df, key, name, o) for name, o in orders.items()])).alias("p")).select("p.*")
+    first = [
+        F.max(F.when((F.col("o") == name) & (F.col("j") == j), F.struct("r", "s", "id"))).alias(f"{name}_{j}")
         for name in orders
-    }
-    return marked.withColumns(tiles).drop(*[_mark(name) for name in orders])
+        for j in range(1, n)
+    ]
+    starts = _starting_rows(rows, n).agg(*first).select(F.struct(F.col("*"))).scalar()
+
+    def tile(name: str, row: Column) -> Column:
+        place = F.struct(row["r"], row["s"], row["id"])
+        reached = [F.coalesce(starts[f"{name}_{j}"] <= place, F.lit(False)).cast("int") for j in range(1, n)]
+        return reduce(add, reached, F.lit(1))
+
+    return df.withColumns({name: tile(name, _row(df, key, name, o)) for name, o in orders.items()})
+
+
+def _row(df: DataFrame, key: str, name: str, order: TileOrder) -> Column:
+    """Place of a row in one order: order name, NULL rank, coarse step, sort value, key."""
+    value = F.col(order.value)
+    if isinstance(df.schema[order.value].dataType, T.DateType):
+        value = F.unix_date(value)
+    value = value.cast(_SORT_TYPE)
+    value = F.coalesce(-value if order.descending else value, F.lit(0).cast(_SORT_TYPE))
+    rank = F.when(F.col(order.value).isNull(), -1 if order.nulls_first else 1).otherwise(0)
+    size = value.cast("double")
+    step = F.signum(size) * F.floor(F.log2(F.abs(size) + 1) * _STEPS)
+    return F.struct(
+        F.lit(name).alias("o"), rank.alias("r"), step.cast("int").alias("a"), value.alias("s"), F.col(key).alias("id")
+    )
 
 
-def _mark(name: str) -> str:
-    return f"_mark_{name}"
+def _starting_rows(rows: DataFrame, n: int) -> DataFrame:
+    """First rows of tiles 2..n of each order, at most ``n - 1`` rows per order."""
+    steps = rows.groupBy("o", "r", "a").agg(F.count("*").alias("n"))
+    counted = steps.withColumns(
+        {
+            "before": _running(Window.partitionBy("o").orderBy("r", "a")),
+            "total": F.sum("n").over(Window.partitionBy("o")),
+        }
+    ).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+    # The first ``total % n`` tiles hold one row more than the others.
+    position = F.col("j") * F.expr(f"total div {n}") + F.least(F.col("j"), F.col("total") % n)
+    step = _holding(counted.withColumn("at", position)).drop("total")
+
+    values = rows.join(F.broadcast(step), ["o", "r", "a"]).groupBy("o", "j", "at", "r", "s").agg(F.count("*").alias("n"))
+    value = _holding(values.withColumn("before", _running(Window.partitionBy("o", "j").orderBy("s"))))
+
+    named = rows.withColumn("prefix", _beginning(rows))
+    keys = named.join(F.broadcast(value), ["o", "r", "s"]).groupBy("o", "j", "at", "r", "s", "prefix").agg(
+        F.count("*").alias("n")
+    )
+    prefix = _holding(keys.withColumn("before", _running(Window.partitionBy("o", "j").orderBy("prefix"))))
+    left = named.join(F.broadcast(prefix), ["o", "r", "s", "prefix"])
+    number = F.row_number().over(Window.partitionBy("o", "j").orderBy("id")) - 1
+    return left.withColumn("number", number).where(F.col("number") == F.col("at")).select("o", "j", "r", "s", "id")
 
 
-def _tile_starts(marked: DataFrame, names: list[str], n: int) -> dict[str, list[int]]:
-    """Marks of the first row of tiles 2..n, per order.
+def _running(window: Window) -> Column:
+    """Rows before the current group."""
+    return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    Only the sizes of the sort partitions reach the driver: at most spark.sql.shuffle.partitions rows per order.
-    """
-    parts = [F.struct(F.lit(name).alias("name"), F.shiftright(_mark(name), _ROW_BITS).alias("part")) for name in names]
-    sizes = (
-        marked.select(F.explode(F.array(*parts)).alias("p"))
-        .groupBy("p.name", "p.part")
-        .agg(F.count("*").alias("rows"))
-        .collect()
-    )
-    return {
-        name: list(_start_marks(sorted((r.part, r.rows) for r in sizes if r.name == name), n))
-        for name in names
-    }
-
-
-def _start_marks(sizes: list[tuple[int, int]], n: int) -> Iterator[int]:
-    total = sum(rows for _, rows in sizes)
-    quota, larger = divmod(total, n)
-    # The first ``larger`` tiles hold one row more than the others.
-    positions = [tile * quota + min(tile, larger) for tile in range(1, n)]
-    before = 0
-    for part, rows in sizes:
-        for position in positions:
-            if before <= position < before + rows:
-                yield (part << _ROW_BITS) + position - before
-        before += rows
+
+def _holding(groups: DataFrame) -> DataFrame:
+    """Groups that hold position ``at``, which is then counted from the group's first row."""
+    inside = (F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n"))
+    return groups.where(inside).withColumn("at", F.col("at") - F.col("before")).drop("before", "n")
+
+
+def _beginning(rows: DataFrame) -> Column:
+    """The first characters of a key, past those that every key shares; they sort as the keys do."""
+    ends = rows.agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    same = lambda i: F.substring("least", F.lit(1), i) == F.substring("most", F.lit(1), i)
+    places = F.sequence(F.lit(1), F.greatest(F.length("least"), F.lit(1)))
+    shared = ends.select(F.coalesce(F.size(F.filter(places, same)), F.lit(0))).scalar()
+    return F.substring(F.col("id"), F.lit(1), shared + _PREFIX)

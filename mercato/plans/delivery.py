@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.exact import RATE, SCORE, percent, rounded_ratio
 from mercato.operators.checks import union_all
+from mercato.plans.categories import UNCATEGORIZED
 from mercato.plans.order_model import delivered
 
 # Labels and limits of the delay classes.
@@ -291,14 +292,30 @@ def delivery_category(
     products: DataFrame,
     translation: DataFrame,
     min_group: int = MIN_GROUP,
+    uncategorised: str = "drop",
 ) -> DataFrame:
     """Rates per category at order-category grain: an order counts once in each of its categories.
 
-    Pairs are summed per source category before translation, which then only touches category rows.
+    The categories of an order are gathered as a set, at most as large as the number of categories and summed up on
+    the map side, so one exchange on the order serves both the distinct pairs and the join with the delayed orders. Pairs are
+    added per source category before translation, which then only touches category rows. Products without a category are left
+    out, or with ``uncategorised="label"`` form the category of that name.
     """
+    if uncategorised not in ("drop", "label"):
+        raise ValueError("uncategorised is 'drop' or 'label'")
+    category = F.col("product_category_name")
+    known = products if uncategorised == "label" else products.where(category.isNotNull())
+    if uncategorised == "label":
+        known = known.withColumn("product_category_name", F.coalesce(category, F.lit(UNCATEGORIZED)))
+    sets = (
+        order_items.select("order_id", "product_id")
+        .join(known.select("product_id", "product_category_name"), "product_id")
+        .groupBy("order_id")
+        .agg(F.collect_set("product_category_name").alias("_categories"))
+    )
     per_category = (
-        order_categories(order_items, products)
-        .join(_with_delay(facts), "order_id")
+        sets.join(_with_delay(facts).select("order_id", _DELAY, _SCORE), "order_id")
+        .withColumn("product_category_name", F.explode("_categories"))
         .groupBy("product_category_name")
         .agg(*_measures())
     )
@@ -334,6 +351,10 @@ def delivery_delay_buckets(facts: DataFrame) -> DataFrame:
     )
 
 
+def by_status(rates: DataFrame) -> DataFrame:
+    return rates.orderBy("delivery_status")
+
+
 def by_severity(buckets: DataFrame) -> DataFrame:
     """Delay buckets from on time to latest."""
     labels = F.array(*[F.lit(label) for _, label in DELAY_BUCKETS])

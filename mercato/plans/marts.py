@@ -9,17 +9,27 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.operators import rollups
-from mercato.plans import categories, cohorts, delivery, executive, rfm
+from mercato.plans import categories, cohorts, delivery, executive, revenue, rfm
 from mercato.plans.order_model import delivered, order_analytics, orders_clean
+from mercato.plans.reconciliation import reconcile_tables
 from mercato.sources.tables import Tables, register_tables
 
 
 @dataclass(frozen=True)
 class Params:
-    """Settings of the published views; a missing snapshot means the latest delivered purchase."""
+    """Settings of the published views.
+
+    A missing snapshot means the latest delivered purchase, missing calendar bounds the months of the data. ``comparable_from`` is the
+    first month whose growth counts; ``uncategorised`` drops or labels products without a category in delivery by category.
+    """
 
     snapshot: dt.date | None = None
     min_group: int = delivery.MIN_GROUP
+    calendar_first: dt.date | None = None
+    calendar_last: dt.date | None = None
+    comparable_from: dt.date | None = None
+    tiles: int = rfm.TILES
+    uncategorised: str = "drop"
 
 
 # View names.
@@ -36,7 +46,7 @@ MART_VIEWS: dict[str, Callable[[DataFrame, Tables, Params], DataFrame]] = {
     "vw_delivery_delay_buckets": lambda f, t, p: delivery.delivery_delay_buckets(f),
     "vw_delivery_state": lambda f, t, p: delivery.delivery_state(f, t.customers, p.min_group),
     "vw_delivery_category": lambda f, t, p: delivery.delivery_category(
-        f, t.order_items, t.products, t.product_category_name_translation, p.min_group
+        f, t.order_items, t.products, t.product_category_name_translation, p.min_group, p.uncategorised
     ),
     "vw_product_category_performance": lambda f, t, p: categories.product_category_performance(
         t.order_items, delivered(t.orders), t.products, t.product_category_name_translation
@@ -44,10 +54,20 @@ MART_VIEWS: dict[str, Callable[[DataFrame, Tables, Params], DataFrame]] = {
     "vw_executive_kpis": lambda f, t, p: executive.executive_kpis(f),
     "vw_monthly_business_performance": lambda f, t, p: executive.monthly_business_performance(f),
     "vw_customer_rfm": lambda f, t, p: rfm.customer_rfm(f, p.snapshot),
-    "vw_cohort_retention_powerbi": lambda f, t, p: cohorts.cohort_listing(
-        cohorts.cohort_retention(f, p.snapshot)
+}
+# Beyond the published views: what the dashboard's segment and growth pages read.
+SEGMENTS = "customer_segments"
+EXTRA_MARTS: dict[str, Callable[[DataFrame, Tables, Params], DataFrame]] = {
+    SEGMENTS: lambda f, t, p: rfm.rfm_segments(rfm.rfm_scores(f, p.snapshot, p.tiles)),
+    "monthly_growth": lambda f, t, p: revenue.mom_growth_calendar(
+        f, p.calendar_first, p.calendar_last, p.comparable_from
     ),
 }
+# Views over another view, which is read and not computed again.
+DERIVED_VIEWS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
+    "vw_cohort_retention_powerbi": ("vw_cohort_retention", cohorts.cohort_listing),
+}
+RECONCILIATION = "reconciliation"
 
 
 def register_views(tables: Tables, params: Params = Params()) -> list[str]:
@@ -57,9 +77,11 @@ def register_views(tables: Tables, params: Params = Params()) -> list[str]:
     for name, build in ORDER_VIEWS.items():
         build(tables).createOrReplaceTempView(name)
     facts.createOrReplaceTempView(ORDER_ANALYTICS)
-    for name, build in MART_VIEWS.items():
+    for name, build in {**MART_VIEWS, **EXTRA_MARTS}.items():
         build(facts, tables, params).createOrReplaceTempView(name)
-    return [*ORDER_VIEWS, ORDER_ANALYTICS, *MART_VIEWS]
+    for name, (source, build) in DERIVED_VIEWS.items():
+        build(facts.sparkSession.table(source)).createOrReplaceTempView(name)
+    return [*ORDER_VIEWS, ORDER_ANALYTICS, *MART_VIEWS, *EXTRA_MARTS, *DERIVED_VIEWS]
 
 
 def write_marts(
@@ -71,12 +93,19 @@ def write_marts(
 ) -> dict[str, str]:
     """Write the order frame once, then every mart from the written copy.
 
-    The scan-heavy joins run a single time, and a lost executor costs at most the mart being written.
+    The scan-heavy joins run a single time, and a lost executor costs at most the mart being written. The customer segments are
+    stored too, and ``reconciliation`` holds the equalities between what was written and the tables.
     """
     paths = {ORDER_ANALYTICS: f"{root}/{ORDER_ANALYTICS}"}
     order_analytics(tables).write.mode(mode).parquet(paths[ORDER_ANALYTICS])
     facts = spark.read.parquet(paths[ORDER_ANALYTICS])
-    for name, build in MART_VIEWS.items():
+    made = {name: lambda build=build: build(facts, tables, params) for name, build in {**MART_VIEWS, **EXTRA_MARTS}.items()}
+    made |= {
+        name: lambda source=source, build=build: build(spark.read.parquet(paths[source]))
+        for name, (source, build) in DERIVED_VIEWS.items()
+    }
+    made[RECONCILIATION] = lambda: reconcile_tables(tables, facts, params.snapshot)
+    for name, frame in made.items():
         paths[name] = f"{root}/{name}"
-        build(facts, tables, params).write.mode(mode).parquet(paths[name])
+        frame().write.mode(mode).parquet(paths[name])
     return paths

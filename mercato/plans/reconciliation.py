@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.exact import MONEY
 from mercato.operators.checks import union_all
+from mercato.plans import categories, executive, revenue, rfm
+from mercato.plans.order_model import DELIVERED, NOT_SOLD, order_analytics
+from mercato.sources.tables import Tables
+
+#: What the reconciled layers read of the order frame.
+ORDER_COLUMNS = (
+    "order_id",
+    "order_status",
+    "customer_unique_id",
+    "purchase_month",
+    "purchase_date",
+    "delivery_delay_days",
+    "product_revenue",
+    "total_order_value",
+    "average_review_score",
+)
 
 
 def side(totals: DataFrame, position: str, **checks: str) -> DataFrame:
@@ -77,3 +95,42 @@ def reconcile(
         side(order_view_revenue, "left", raw_item_revenue="order_view_revenue"),
         side(raw_item_revenue, "right", raw_item_revenue="raw_item_revenue"),
     )
+
+
+def product_sales(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Item revenue per product in one pass: ``delivered`` and ``sold`` orders, NULL where a product has no item in them."""
+    status = F.col("order_status")
+    price = lambda population: F.sum(F.when(population, F.col("price"))).cast(MONEY)
+    return (
+        order_items.select("order_id", "product_id", "price")
+        .join(orders.select("order_id", "order_status"), "order_id")
+        .groupBy("product_id")
+        .agg(price(status == DELIVERED).alias("delivered"), price(~status.isin(*NOT_SOLD)).alias("sold"))
+    )
+
+
+def reconcile_tables(tables: Tables, facts: DataFrame | None = None, snapshot: dt.date | None = None) -> DataFrame:
+    """All equalities straight from the tables, or from a stored order frame given as ``facts``.
+
+    Without ``facts`` the order frame is built once, with every status, and kept in Spark's cache for the layers that read it; lost
+    parts of it are recomputed. Nothing runs before the result is asked for. The caller frees the cache with
+    ``spark.catalog.clearCache()``, or passes the stored frame of ``write_marts`` and needs none.
+    """
+    if facts is None:
+        facts = order_analytics(tables, ("person", "items", "reviews")).select(*ORDER_COLUMNS).persist()
+    sales = product_sales(tables.order_items, tables.orders)
+    labels = categories.labelled_products(
+        tables.products, tables.product_category_name_translation, categories.UNCATEGORIZED
+    )
+    by_category = (
+        sales.join(labels, "product_id").groupBy("category").agg(F.sum("delivered").cast(MONEY).alias("product_revenue"))
+    )
+    return reconcile(
+        executive=executive.executive_kpis(facts),
+        monthly=executive.monthly_totals_check(executive.monthly_business_performance(facts)),
+        customers=rfm.rfm_totals_check(rfm.customer_rfm(facts, snapshot)),
+        segments=rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(facts, snapshot))),
+        categories=by_category,
+        order_view_revenue=revenue.revenue_check_view(facts),
+        raw_item_revenue=sales.agg(F.sum("sold").cast(MONEY).alias("raw_item_revenue")),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.exact import MONEY, percent, rounded_ratio
-from mercato.operators.tiles import with_tiles
+from mercato.operators.tiles import TileOrder, with_tiles
 from mercato.plans.order_model import delivered
 
 # Labels and score limits of the segments.
@@ -82,6 +82,17 @@ def frequency_distribution(facts: DataFrame) -> DataFrame:
     )
 
 
+def _latest(totals: DataFrame) -> Column:
+    """Latest purchase of a known customer in per-customer totals, as a scalar subquery.
+
+    It reads every column of the totals, so its plan is theirs and Spark reuses their shuffle instead of joining the orders
+    to the persons a second time.
+    """
+    others = [c for c in totals.columns if c not in ("customer_unique_id", "last_purchase_date")]
+    known = F.when(F.col("customer_unique_id").isNotNull(), F.struct("last_purchase_date", *others))
+    return totals.agg(F.max(known).alias("latest")).select("latest.last_purchase_date").scalar()
+
+
 def _with_recency(customers: DataFrame, snapshot: Column) -> DataFrame:
     return customers.withColumn("snapshot_date", snapshot).withColumn(
         "recency", F.datediff("snapshot_date", "last_purchase_date")
@@ -89,12 +100,10 @@ def _with_recency(customers: DataFrame, snapshot: Column) -> DataFrame:
 
 
 def rfm_metrics(facts: DataFrame, snapshot: dt.date | None = None) -> DataFrame:
-    """Recency is counted from ``snapshot``, by default the latest delivered purchase.
-
-    The default is a scalar subquery that reads three order columns; it is one value, not a join.
-    """
-    date = F.lit(snapshot) if snapshot else snapshot_date(facts).scalar()
-    return _with_recency(customer_totals(facts), date).select(
+    """Recency is counted from ``snapshot``, by default the latest delivered purchase."""
+    totals = customer_totals(facts)
+    date = F.lit(snapshot) if snapshot else _latest(totals)
+    return _with_recency(totals, date).select(
         "customer_unique_id", "snapshot_date", "last_purchase_date", "recency", "frequency", "monetary"
     )
 
@@ -103,22 +112,24 @@ def rfm_metrics_listing(facts: DataFrame, snapshot: dt.date | None = None) -> Da
     return rfm_metrics(facts, snapshot).orderBy(F.desc_nulls_first("monetary"), "customer_unique_id")
 
 
-def rfm_scores(facts: DataFrame, snapshot: dt.date | None = None) -> DataFrame:
+def rfm_scores(facts: DataFrame, snapshot: dt.date | None = None, tiles: int = TILES) -> DataFrame:
     """Quintile scores 1..5, 5 being the most recent and the highest spending.
 
     Customers that tie are told apart by id, which makes the result repeatable. A customer without any
     item sorts last by value, so it scores 5.
     """
+    totals = customer_totals(facts)
     tiled = with_tiles(
-        customer_totals(facts),
+        totals,
+        "customer_unique_id",
         {
             # Falling recency is rising last purchase, whatever the snapshot.
-            "recency_score": [F.asc_nulls_first("last_purchase_date"), F.asc("customer_unique_id")],
-            "monetary_score": [F.asc_nulls_last("monetary"), F.asc("customer_unique_id")],
+            "recency_score": TileOrder("last_purchase_date", nulls_first=True),
+            "monetary_score": TileOrder("monetary"),
         },
-        TILES,
+        tiles,
     )
-    date = F.lit(snapshot) if snapshot else tiled.agg(F.max("last_purchase_date")).scalar()
+    date = F.lit(snapshot) if snapshot else _latest(totals)
     return _with_recency(tiled, date).select(
         "customer_unique_id",
         "snapshot_date",
@@ -259,14 +270,13 @@ def rfm_validation(facts: DataFrame, snapshot: dt.date | None = None) -> DataFra
 
 def customer_rfm(facts: DataFrame, snapshot: dt.date | None = None) -> DataFrame:
     """Published customer view. Orders without a known customer form one row, unlike ``rfm_metrics``."""
-    orders = delivered(facts)
-    date = F.lit(snapshot) if snapshot else snapshot_date(facts).scalar()
-    totals = orders.groupBy("customer_unique_id").agg(
+    totals = delivered(facts).groupBy("customer_unique_id").agg(
         F.count("*").alias("frequency"),
         F.sum("product_revenue").cast(MONEY).alias("monetary_value"),
         F.sum("total_order_value").cast(MONEY).alias("total_order_value"),
         F.max("purchase_date").alias("last_purchase_date"),
     )
+    date = F.lit(snapshot) if snapshot else _latest(totals)
     return totals.withColumn("recency_days", F.datediff(date, "last_purchase_date")).withColumn(
         "customer_type", purchase_type()
     )

@@ -1,10 +1,8 @@
-"""Session helper and durable cut points for lineage."""
+"""Session helper."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "mercato", master: str | None = None, **conf: object) -> SparkSession:
@@ -21,31 +19,9 @@ def build_session(app_name: str = "mercato", master: str | None = None, **conf:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # Splits a hot customer, order or product in every shuffled fact-to-dimension join.
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make a scratch one in local mode only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError(
-                "spark.checkpoint.dir must name a folder that all executors share"
-            )
-        shared = tempfile.mkdtemp(prefix="mercato-checkpoint-")
-    sc.setCheckpointDir(shared)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder, so that losing an executor cannot change it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

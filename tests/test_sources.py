@@ -3,8 +3,7 @@ import datetime as dt
 import pytest
 from conftest import as_dicts, customer, item, money, month, only, order, product, review, translation, ts
 
-from mercato import session as session_module
-from mercato.plans import executive, marts
+from mercato.plans import executive, marts, rfm
 from mercato.plans.order_model import order_analytics
 from mercato.schemas import TABLE_SPECS
 from mercato.sources import tables as tables_module
@@ -123,7 +122,7 @@ def _shop(make_tables):
 
 def test_views_answer_sql(spark, make_tables):
     names = marts.register_views(_shop(make_tables), marts.Params(min_group=1))
-    assert len(names) == 15
+    assert len(names) == 17
     assert spark.sql("select * from vw_executive_kpis").first().product_revenue == money("17.50")
     assert spark.sql("select count(*) from vw_order_analytics").first()[0] == 3
     joined = spark.sql(
@@ -137,38 +136,16 @@ def test_written_marts_equal_the_views(spark, make_tables, tmp_path):
     t = _shop(make_tables)
     params = marts.Params(snapshot=dt.date(2020, 4, 1), min_group=1)
     paths = marts.write_marts(spark, t, str(tmp_path / "marts"), params)
-    assert len(paths) == 11
+    assert len(paths) == 14
     facts = order_analytics(t)
     for name, build in marts.MART_VIEWS.items():
         stored = sorted(map(str, as_dicts(spark.read.parquet(paths[name]))))
         assert stored == sorted(map(str, as_dicts(build(facts, t, params)))), name
+    segments = spark.read.parquet(paths[marts.SEGMENTS])
+    assert as_dicts(rfm.rfm_segment_by_type(segments)) == as_dicts(
+        rfm.rfm_segment_by_type(rfm.rfm_segments(rfm.rfm_scores(facts, params.snapshot)))
+    )
+    checks = spark.read.parquet(paths[marts.RECONCILIATION]).collect()
+    assert len(checks) == 9 and all(r.passed for r in checks)
     grid = spark.read.parquet(paths["vw_cohort_retention"]).where("month_number = 3").collect()
     assert [r.cohort_month for r in grid] == [month("2020-01")]
-
-
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
-    class Context:
-        master = "spark://cluster:7077"
-        folder = None
-
-        def getCheckpointDir(self):
-            return self.folder
-
-        def setCheckpointDir(self, folder):
-            self.folder = folder
-
-    class Session:
-        def __init__(self, settings):
-            self.sparkContext, self.conf = Context(), settings
-
-    shared = Session({"spark.checkpoint.dir": "s3a://bucket/checkpoints"})
-    session_module.ensure_checkpoint_dir(shared)
-    assert shared.sparkContext.folder == "s3a://bucket/checkpoints"
-    # A cluster without a shared folder gets an error, never a folder of one machine.
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session_module.ensure_checkpoint_dir(Session({}))
-    local = Session({})
-    local.sparkContext.master = "local[2]"
-    session_module.ensure_checkpoint_dir(local)
-    assert local.sparkContext.folder
-    assert "checkpoint" in spark.sparkContext.getCheckpointDir()

@@ -6,6 +6,7 @@ from conftest import as_dicts
 from pyspark.sql import functions as F
 
 from mercato.operators import tiles
+from mercato.operators.tiles import TileOrder
 
 
 def brute_ntile(rows: list, n: int) -> list[int]:
@@ -17,7 +18,7 @@ def brute_ntile(rows: list, n: int) -> list[int]:
 @pytest.mark.parametrize("count", [0, 1, 3, 5, 7, 101, 1000])
 def test_equals_ntile_for_any_row_count(spark, count):
     df = spark.range(count).select(F.format_string("k%05d", "id").alias("key"), (F.col("id") % 7).alias("v"))
-    got = as_dicts(tiles.with_tiles(df, {"t": [F.desc("v"), F.asc("key")]}, 5))
+    got = as_dicts(tiles.with_tiles(df, "key", {"t": TileOrder("v", descending=True)}, 5))
     got.sort(key=lambda r: (-r["v"], r["key"]))
     assert [r["t"] for r in got] == brute_ntile(got, 5)
 
@@ -32,9 +33,10 @@ def test_a_third_of_the_rows_share_one_value(spark):
     got = as_dicts(
         tiles.with_tiles(
             df,
+            "key",
             {
-                "up": [F.asc_nulls_last("value"), F.asc("key")],
-                "down": [F.desc_nulls_first("value"), F.asc("key")],
+                "up": TileOrder("value"),
+                "down": TileOrder("value", descending=True, nulls_first=True),
             },
             5,
         )
@@ -46,12 +48,30 @@ def test_a_third_of_the_rows_share_one_value(spark):
     assert [r["down"] for r in down] == brute_ntile(down, 5)
 
 
-def test_rows_are_never_gathered_in_one_task(spark, monkeypatch):
-    seen = []
-    real = tiles.durable
-    monkeypatch.setattr(tiles, "durable", lambda df: seen.append(df) or real(df))
+def test_plan_neither_sorts_nor_gathers_the_table(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("v"))
-    tiles.with_tiles(df, {"t": [F.asc("v"), F.asc("key")]}, 5).collect()
-    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "Window" not in plan
-    assert "rangepartitioning" in plan
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup()
+    tiled = tiles.with_tiles(df, "key", {"t": TileOrder("v")}, 5)
+    assert tracker.getJobIdsForGroup() == before
+    plan = tiled._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # One task only ever sees the starting rows and the totals of a column.
+    lines = plan.splitlines()
+    for number, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "Aggregate" in lines[number + 1]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 11])
+def test_same_tiles_for_any_partitioning(spark, parts):
+    df = spark.range(2_000).select(
+        F.format_string("Customer#%09d", "id").alias("key"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") * 37) % 101).alias("v"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("d"),
+    )
+    orders = {"a": TileOrder("v", descending=True), "b": TileOrder("d", nulls_first=True)}
+    rows = tiles.with_tiles(df.repartition(parts), "key", orders, 5).collect()
+    by_value = sorted(rows, key=lambda r: (-r.v, r.key))
+    by_date = sorted(rows, key=lambda r: (r.d, r.key))
+    assert [r.a for r in by_value] == brute_ntile(rows, 5) and [r.b for r in by_date] == brute_ntile(rows, 5)
