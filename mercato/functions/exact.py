@@ -32,7 +32,8 @@ def rounded_ratio(num: Column | str, den: Column | str, places: int = 2) -> Colu
     rest = n % d
     whole = ((n - rest) / d).cast("decimal(38,0)")
     digits = whole + F.when(rest * 2 >= d, 1).otherwise(0)
-    unsigned = digits.cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-places))
+    # A product keeps all its places only if its digits fit into 38.
+    unsigned = digits.cast(f"decimal({38 if places <= 6 else 37 - places},0)") * F.lit(Decimal(1).scaleb(-places))
     return F.when((num < 0) != (den < 0), -unsigned).otherwise(unsigned).cast(f"decimal(38,{places})")
 
 

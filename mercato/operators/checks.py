@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def check_not_null(tables: Tables) -> DataFrame:
-    """NULLs in columns declared NOT NULL: one aggregate pass per table, whatever its column count."""
+    """NULLs in key columns and in columns declared NOT NULL: one aggregate pass per table, whatever its column count."""
     found = []
     for name, df in tables.named().items():
-        columns = TABLE_SPECS[name].not_null
+        columns = TABLE_SPECS[name].required
         if columns:
             counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
             found.append(
@@ -42,21 +43,28 @@ def check_not_null(tables: Tables) -> DataFrame:
 
 
 def check_primary_keys(tables: Tables) -> DataFrame:
-    """Keys that occur more than once, and the rows beyond the first of each."""
+    """Keys that occur more than once, the rows beyond the first of each, and the rows whose key has a NULL part.
+
+    A NULL part makes a key invalid by itself, so such rows are not counted as repeats.
+    """
     found = []
     for name, df in tables.named().items():
         key = TABLE_SPECS[name].primary_key
         if key:
-            repeated = df.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+            whole = reduce(and_, [F.col(c).isNotNull() for c in key])
+            keys = df.groupBy(*key).agg(F.count("*").alias("n"))
+            repeated = whole & (F.col("n") > 1)
             found.append(
-                repeated.agg(
-                    F.count("*").alias("duplicate_groups"),
-                    F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"),
+                keys.agg(
+                    F.count_if(repeated).alias("duplicate_groups"),
+                    F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("extra_rows"),
+                    F.coalesce(F.sum(F.when(~whole, F.col("n"))), F.lit(0)).alias("null_key_rows"),
                 ).select(
                     F.lit(name).alias("table_name"),
                     F.lit(", ".join(key)).alias("key_columns"),
                     "duplicate_groups",
                     "extra_rows",
+                    "null_key_rows",
                 )
             )
     return union_all(found)

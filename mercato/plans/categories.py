@@ -99,7 +99,7 @@ def category_top(totals: DataFrame, n: int = 10) -> DataFrame:
 
 
 def category_share_check(totals: DataFrame, places: int = 10) -> DataFrame:
-    """Sum of the unrounded shares, 100.00 when no revenue is lost."""
+    """Sum of the shares, each to ``places`` digits, 100.00 when no revenue is lost."""
     everything = F.sum("revenue").over(Window.partitionBy())
     share = rounded_ratio(F.col("revenue") * 100, everything, places)
     return totals.select(share.alias("share")).agg(

@@ -135,7 +135,8 @@ def item_key_uniqueness(items: DataFrame) -> DataFrame:
     )
 
 
-def price_freight_stats(items: DataFrame, places: int = 6) -> DataFrame:
+def price_freight_stats(items: DataFrame, places: int = 12) -> DataFrame:
+    """Bounds and averages; an average has ``places`` digits after the point, beyond any difference between prices in cents."""
     return items.agg(
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),

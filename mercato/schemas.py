@@ -23,6 +23,11 @@ class TableSpec:
     not_null: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = field(default=())
 
+    @property
+    def required(self) -> tuple[str, ...]:
+        """Columns that may not be NULL: those of the primary key, and those declared so."""
+        return tuple(dict.fromkeys((*self.primary_key, *self.not_null)))
+
     @property
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(self.ddl)

@@ -13,7 +13,7 @@ def test_declared_constraints(make_tables):
         order_reviews=[review("o1", 6), review("o1", None), review("o1", 5)],
     )
     nulls = {(r["table_name"], r["column_name"]): r["null_rows"] for r in as_dicts(checks.check_not_null(t))}
-    assert len(nulls) == 9
+    assert len(nulls) == 14
     assert {k for k, v in nulls.items() if v} == {("customers", "customer_unique_id"), ("orders", "customer_id")}
     keys = {r["table_name"]: r for r in as_dicts(checks.check_primary_keys(t))}
     assert len(keys) == 7
@@ -93,9 +93,9 @@ def test_detail_profiles(make_tables):
     assert (stats["min_price"], stats["max_price"], stats["avg_price"]) == (
         money("-2.00"),
         money("4.00"),
-        money("1.000000"),
+        money("1.000000000000"),
     )
-    assert stats["avg_freight"] == money("0.083333")
+    assert stats["avg_freight"] == money("0.083333333333")
     assert only(quality.negative_price(t.order_items)) == {"negative_price_rows": 1}
     assert only(quality.negative_freight(t.order_items)) == {"negative_freight_rows": 1}
 
@@ -103,3 +103,18 @@ def test_detail_profiles(make_tables):
 def test_row_value_keys_count_missing_parts(spark):
     items = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("a", 1)], "order_id string, order_item_id int")
     assert only(quality.item_key_uniqueness(items)) == {"total_rows": 4, "unique_order_items": 3}
+
+
+def test_null_keys_are_found(make_tables):
+    t = make_tables(
+        orders=[order(None, "c1"), order(None, "c1"), order("o1", "c1"), order("o1", "c1")],
+        customers=[customer(None, "U1"), customer("c1", "U1")],
+        products=[product(None, "a")],
+        order_items=[item(None, "1.00"), item("o1", "1.00")],
+    )
+    nulls = {(r["table_name"], r["column_name"]): r["null_rows"] for r in as_dicts(checks.check_not_null(t))}
+    assert nulls[("orders", "order_id")] == 2 and nulls[("customers", "customer_id")] == 1
+    assert nulls[("products", "product_id")] == 1 and nulls[("order_items", "order_id")] == 1
+    keys = {r["table_name"]: (r["duplicate_groups"], r["extra_rows"], r["null_key_rows"]) for r in as_dicts(checks.check_primary_keys(t))}
+    assert keys["orders"] == (1, 1, 2) and keys["customers"] == (0, 0, 1) and keys["products"] == (0, 0, 1)
+    assert keys["order_items"] == (0, 0, 1) and keys["sellers"] == (0, 0, 0)
