@@ -49,13 +49,21 @@ def cohort_size_check(facts: DataFrame) -> DataFrame:
 def cohort_activity(facts: DataFrame) -> DataFrame:
     """Active customers per cohort and calendar month, in one pass over the facts.
 
-    Orders shrink to distinct customer-months first. A customer then has at most one row per
-    calendar month, so the window that finds the first month only ever sees short groups.
+    A customer's orders are gathered to the set of their months on the map side, at most one entry per calendar month, so
+    one exchange on the customer gives both the distinct months and the first of them. The set has no NULL: a customer
+    without any purchase month stays with a single empty one.
     """
-    months = _known_customers(facts).select("customer_unique_id", "purchase_month").distinct()
-    first = F.min("purchase_month").over(Window.partitionBy("customer_unique_id"))
+    bought = F.collect_set("purchase_month")
+    undated = F.max(F.col("purchase_month").isNull())
+    months = (
+        _known_customers(facts)
+        .groupBy("customer_unique_id")
+        .agg(bought.alias("months"), F.min("purchase_month").alias("cohort_month"), undated.alias("undated"))
+    )
+    missing = F.array(F.lit(None).cast(facts.schema["purchase_month"].dataType))
+    every = F.when(F.col("undated"), F.concat("months", missing)).otherwise(F.col("months"))
     return (
-        months.withColumn("cohort_month", first)
+        months.select("cohort_month", F.explode(every).alias("purchase_month"))
         .groupBy("cohort_month", "purchase_month")
         .agg(F.count("*").alias("active_customers"))
     )

@@ -190,3 +190,19 @@ def test_dimension_coverage(mixed):
 def test_view_row_counts(facts):
     views = {"a": delivery.delivery_satisfaction(facts), "b": delivery.delivery_delay_buckets(facts)}
     assert [tuple(r.values()) for r in as_dicts(delivery.view_row_counts(views))] == [("a", 2), ("b", 5)]
+
+
+def test_products_without_category_can_be_labelled(make_tables):
+    t = make_tables(
+        orders=[order(o, "c", arrived="2020-01-20", promised="2020-01-15") for o in ("o1", "o2")],
+        order_items=[item("o1", "1.00", product="p"), item("o1", "1.00", product="q", number=2), item("o2", "1.00", product="q")],
+        products=[product("p", "casa"), product("q", None)],
+        product_category_name_translation=[translation("casa", "home")],
+    )
+    facts = order_analytics(t, ("reviews",))
+    args = facts, t.order_items, t.products, t.product_category_name_translation, 1
+    count = lambda df: {r["product_category"]: r["category_orders"] for r in as_dicts(df)}
+    assert count(delivery.delivery_category(*args)) == {"home": 1}
+    assert count(delivery.delivery_category(*args, uncategorised="label")) == {"home": 1, "Uncategorized": 2}
+    with pytest.raises(ValueError, match="uncategorised"):
+        delivery.delivery_category(*args, uncategorised="keep")

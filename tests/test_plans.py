@@ -8,7 +8,7 @@ import pytest
 from conftest import as_dicts, customer, order
 from pyspark.sql import functions as F
 
-from mercato.plans import categories, cohorts, delivery, executive, quality, revenue, rfm
+from mercato.plans import categories, cohorts, delivery, executive, quality, reconciliation, revenue, rfm
 from mercato.plans.order_model import delivered, order_analytics, orders_clean
 from mercato.sources.tables import tables_from_parquet, write_tables
 
@@ -69,7 +69,7 @@ def test_order_side_is_shuffled_once_for_all_rollups(stored, large_tables):
     assert keys == {"order_id": 4, "customer_id": 2}
 
 
-def test_no_cross_join_and_no_python(stored, large_tables):
+def test_no_cross_join_and_no_python(spark, stored, large_tables):
     facts = order_analytics(stored)
     dims = stored.products, stored.product_category_name_translation
     frames = [
@@ -84,6 +84,13 @@ def test_no_cross_join_and_no_python(stored, large_tables):
         delivery.delivery_category(facts, stored.order_items, *dims),
         quality.orders_without_customer(stored.orders, stored.customers),
     ]
+    # The starting rows of tiles are at most four, and the lookup of one-row totals is a subquery.
+    bounded = [rfm.rfm_scores(facts), reconciliation.reconcile_tables(stored)]
+    for df in bounded:
+        plan = physical(df)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "Python" not in plan and "Pandas" not in plan
+    spark.catalog.clearCache()
     for df in frames:
         plan = physical(df)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -206,3 +213,88 @@ def test_hot_product_and_hot_order_give_whole_results(spark):
     assert got == expected
     totals = {r["category"]: r["revenue"] for r in as_dicts(categories.category_totals(items, orders, products, names))}
     assert totals == {k: v[0] for k, v in expected.items()}
+
+
+@pytest.mark.parametrize("build", [rfm.rfm_metrics, rfm.customer_rfm])
+def test_default_snapshot_reuses_the_person_join(spark, stored, large_tables, build):
+    facts = order_analytics(stored, ("person", "items"))
+    df = build(facts)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") :]
+    assert "ReusedExchange" in final
+
+
+def test_nothing_runs_while_a_plan_is_built(spark, stored):
+    tracker = spark.sparkContext.statusTracker()
+    facts = order_analytics(stored)
+    spark.sparkContext.setJobGroup("build", "building plans")
+    try:
+        rfm.rfm_scores(facts)
+        reconciliation.reconcile_tables(stored)
+        assert not tracker.getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.catalog.clearCache()
+
+
+def test_reconciliation_reads_the_order_frame_from_the_cache(spark, stored, large_tables):
+    df = reconciliation.reconcile_tables(stored)
+    df.collect()
+    plan = physical(df)
+    spark.catalog.clearCache()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert "InMemoryTableScan" in final
+    # Outside the cached frame, items are read by one pass; where it appears again its exchange is reused.
+    passes = [line for line in final.splitlines() if "FileScan" in line and "product_id" in line and "price" in line]
+    assert len(passes) <= 2
+
+
+def test_category_sets_and_cohort_months_take_one_exchange_each(stored, large_tables):
+    facts = order_analytics(stored, ("person", "reviews"))
+    dims = stored.products, stored.product_category_name_translation
+    by_category = Counter(re.findall(r"Exchange hashpartitioning\((\w+)#", physical(delivery.delivery_category(facts, stored.order_items, *dims))))
+    # Items grouped to category sets, reviews, and the orders that meet both.
+    assert by_category["order_id"] <= 3 and by_category["product_id"] == 2
+    cohort = Counter(re.findall(r"Exchange hashpartitioning\((\w+)#", physical(cohorts.cohort_activity(facts))))
+    assert cohort["customer_unique_id"] == 1
+
+
+@pytest.mark.parametrize("key", ["order_id", "product_id"])
+def test_hot_order_and_hot_product_are_split(spark, large_tables, key):
+    """A third of 60,000 items share one key; both row-level lookups of the items are split."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    number = F.col("id") % 20_000
+    hot = lambda name, letter: F.when(F.lit(key == name) & (F.col("id") % 3 == 0), "hot").otherwise(
+        F.format_string(f"{letter}%05d", number)
+    )
+    items = spark.range(0, 60_000, 1, 8).select(
+        hot("order_id", "o").alias("order_id"), hot("product_id", "p").alias("product_id"), F.lit(1).cast("decimal(12,2)").alias("price")
+    )
+    try:
+        if key == "order_id":
+            orders = spark.range(20_000).select(F.format_string("o%05d", "id").alias("order_id"), F.lit("delivered").alias("order_status"))
+            orders = orders.union(spark.createDataFrame([("hot", "delivered")], "a string, b string"))
+            found = revenue.revenue_check_raw(items, orders)
+            assert found.first()[0] == 60_000
+        else:
+            products = spark.range(20_000).select(
+                F.format_string("p%05d", "id").alias("product_id"), F.format_string("k%d", F.col("id") % 7).alias("product_category_name")
+            )
+            products = products.union(spark.createDataFrame([("hot", "k9")], "a string, b string"))
+            found = delivery.order_category_check(items, products)
+            assert found.first()["distinct_categories"] == 8
+        found.collect()
+        plan = physical(found)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan
