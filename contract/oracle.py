@@ -504,9 +504,10 @@ def _executive() -> dict[str, str]:
             {_money("SUM(total_order_value)")} AS total_order_value FROM months""",
         "reconcile": f"""WITH {layers}, sides AS ({sides})
             SELECT *, left_value IS NOT DISTINCT FROM right_value AS passed FROM sides""",
-        "dashboard_extras": f"""WITH {_CUSTOMER_RFM}, {_category_sums("done", "Uncategorized")}, ranked AS (
+        "dashboard_extras": f"""WITH {_RETENTION}, {_CUSTOMER_RFM}, {_category_sums("done", "Uncategorized")}, ranked AS (
             SELECT *, RANK() OVER (ORDER BY revenue DESC) AS place FROM category_sums)
-            {by_type} UNION ALL {tops}""",
+            {by_type} UNION ALL {tops} UNION ALL SELECT 'mean month 1 retention pct' AS metric,
+            {_money(ratio("SUM(retention_pct)", "COUNT(retention_pct)"))} AS value FROM retention WHERE month_number = 1""",
     }
 
 

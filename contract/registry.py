@@ -77,7 +77,7 @@ def _extras(t: Tables) -> DataFrame:
         t.product_category_name_translation,
         categories.UNCATEGORIZED,
     )
-    return executive.dashboard_extras(rfm.customer_rfm(_customer_values(t)), totals)
+    return executive.dashboard_extras(rfm.customer_rfm(_customer_values(t)), totals, _retention(t))
 
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {

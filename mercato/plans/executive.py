@@ -125,7 +125,16 @@ def category_concentration(totals: DataFrame, tops: tuple[int, ...] = (5, 10)) -
     return sums.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
-def dashboard_extras(customers: DataFrame, totals: DataFrame) -> DataFrame:
+def mean_retention(retention: DataFrame, month: int = 1) -> DataFrame:
+    """Simple mean of the cohorts' retention in one month, in contrast to the weighted ``cohorts.retention_curve``."""
+    return (
+        retention.where(F.col("month_number") == month)
+        .agg(F.sum("retention_pct").alias("total"), F.count("retention_pct").alias("cohorts"))
+        .select(rounded_ratio("total", "cohorts").alias("retention_pct"))
+    )
+
+
+def dashboard_extras(customers: DataFrame, totals: DataFrame, retention: DataFrame) -> DataFrame:
     """The figures that the published report adds to its views, as (metric, value) rows."""
     by_type = customer_value_by_type(customers).select(
         F.explode(
@@ -144,4 +153,7 @@ def dashboard_extras(customers: DataFrame, totals: DataFrame) -> DataFrame:
         F.format_string("top %d category share pct", "top_n").alias("metric"),
         F.col("revenue_share_pct").cast(MONEY).alias("value"),
     )
-    return by_type.select("r.*").unionByName(tops)
+    mean = mean_retention(retention).select(
+        F.lit("mean month 1 retention pct").alias("metric"), F.col("retention_pct").cast(MONEY).alias("value")
+    )
+    return by_type.select("r.*").unionByName(tops).unionByName(mean)
