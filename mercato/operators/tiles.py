@@ -47,10 +47,12 @@ def with_tiles(df: DataFrame, key: str, orders: Mapping[str, TileOrder], n: int)
 
     def tile(name: str, row: Column) -> Column:
         place = F.struct(row["r"], row["s"], row["id"])
-        reached = [F.coalesce(starts[f"{name}_{j}"] <= place, F.lit(False)).cast("int") for j in range(1, n)]
+        reached = [F.coalesce(F.col("_starts")[f"{name}_{j}"] <= place, F.lit(False)).cast("int") for j in range(1, n)]
         return reduce(add, reached, F.lit(1))
 
-    return df.withColumns({name: tile(name, _row(df, key, name, o)) for name, o in orders.items()})
+    # As a column, the starting rows are one subquery however often they are compared with.
+    compared = df.withColumn("_starts", starts)
+    return compared.withColumns({name: tile(name, _row(df, key, name, o)) for name, o in orders.items()}).drop("_starts")
 
 
 def _row(df: DataFrame, key: str, name: str, order: TileOrder) -> Column:
@@ -70,26 +72,33 @@ def _row(df: DataFrame, key: str, name: str, order: TileOrder) -> Column:
 
 def _starting_rows(rows: DataFrame, n: int) -> DataFrame:
     """First rows of tiles 2..n of each order, at most ``n - 1`` rows per order."""
-    steps = rows.groupBy("o", "r", "a").agg(F.count("*").alias("n"))
+    steps = rows.groupBy("o", "r", "a").agg(
+        F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")
+    )
     counted = steps.withColumns(
         {
             "before": _running(Window.partitionBy("o").orderBy("r", "a")),
             "total": F.sum("n").over(Window.partitionBy("o")),
+            "shared": _shared(F.min("least").over(Window.partitionBy("o")), F.max("most").over(Window.partitionBy("o"))),
         }
     ).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
     # The first ``total % n`` tiles hold one row more than the others.
     position = F.col("j") * F.expr(f"total div {n}") + F.least(F.col("j"), F.col("total") % n)
-    step = _holding(counted.withColumn("at", position)).drop("total")
+    step = _holding(counted.withColumn("at", position)).drop("total", "least", "most")
 
-    values = rows.join(F.broadcast(step), ["o", "r", "a"]).groupBy("o", "j", "at", "r", "s").agg(F.count("*").alias("n"))
+    values = rows.join(F.broadcast(step), ["o", "r", "a"]).groupBy("o", "j", "at", "shared", "r", "s").agg(
+        F.count("*").alias("n")
+    )
     value = _holding(values.withColumn("before", _running(Window.partitionBy("o", "j").orderBy("s"))))
 
-    named = rows.withColumn("prefix", _beginning(rows))
-    keys = named.join(F.broadcast(value), ["o", "r", "s"]).groupBy("o", "j", "at", "r", "s", "prefix").agg(
-        F.count("*").alias("n")
+    beginning = F.substring("id", F.lit(1), F.col("shared") + _PREFIX)
+    keys = (
+        rows.join(F.broadcast(value), ["o", "r", "s"])
+        .groupBy("o", "j", "at", "shared", "r", "s", beginning.alias("prefix"))
+        .agg(F.count("*").alias("n"))
     )
     prefix = _holding(keys.withColumn("before", _running(Window.partitionBy("o", "j").orderBy("prefix"))))
-    left = named.join(F.broadcast(prefix), ["o", "r", "s", "prefix"])
+    left = rows.join(F.broadcast(prefix), ["o", "r", "s"]).where(beginning == F.col("prefix"))
     number = F.row_number().over(Window.partitionBy("o", "j").orderBy("id")) - 1
     return left.withColumn("number", number).where(F.col("number") == F.col("at")).select("o", "j", "r", "s", "id")
 
@@ -105,10 +114,7 @@ def _holding(groups: DataFrame) -> DataFrame:
     return groups.where(inside).withColumn("at", F.col("at") - F.col("before")).drop("before", "n")
 
 
-def _beginning(rows: DataFrame) -> Column:
-    """The first characters of a key, past those that every key shares; they sort as the keys do."""
-    ends = rows.agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    same = lambda i: F.substring("least", F.lit(1), i) == F.substring("most", F.lit(1), i)
-    places = F.sequence(F.lit(1), F.greatest(F.length("least"), F.lit(1)))
-    shared = ends.select(F.coalesce(F.size(F.filter(places, same)), F.lit(0))).scalar()
-    return F.substring(F.col("id"), F.lit(1), shared + _PREFIX)
+def _shared(least: Column, most: Column) -> Column:
+    """How many characters all keys begin with, from the first and the last key; what follows tells keys apart."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(least), F.lit(1)))
+    return F.size(F.filter(places, lambda i: F.substring(least, F.lit(1), i) == F.substring(most, F.lit(1), i)))

@@ -116,9 +116,10 @@ def rfm_scores(facts: DataFrame, snapshot: dt.date | None = None, tiles: int = T
     """Quintile scores 1..5, 5 being the most recent and the highest spending.
 
     Customers that tie are told apart by id, which makes the result repeatable. A customer without any
-    item sorts last by value, so it scores 5.
+    item sorts last by value, so it scores 5. The totals, one narrow row per customer, are marked for Spark's cache, as the search
+    for the tiles reads them several times; parts lost with an executor are recomputed, and ``spark.catalog.clearCache()`` frees them.
     """
-    totals = customer_totals(facts)
+    totals = customer_totals(facts).persist()
     tiled = with_tiles(
         totals,
         "customer_unique_id",
