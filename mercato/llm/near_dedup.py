@@ -16,8 +16,10 @@ from mercato.llm.common import Stored, whole
 SHINGLE, SIMILAR = 5, 0.8
 #: Samples per text: BANDS bands of ROWS. At similarity 0.8 all bands miss with probability (1 - 0.8**3)**12 < 0.0002.
 BANDS, ROWS = 12, 3
-#: A pair goes on to exact verification if this many samples agree; at similarity 0.8 fewer do with probability below 1e-6.
-AGREEING = 16
+#: A pair goes on to exact verification if this many samples agree; at similarity 0.8 fewer do with probability 0.0001.
+AGREEING = 19
+#: Members of a bucket that one task compares with as many others.
+ROOM = 512
 #: Document frequencies above this share lower a shingle's weight; all rarer ones weigh alike. At most (shingles per text) / COMMON are above it.
 COMMON = 1 / 256
 #: Hash buckets of the first counting pass; their mean load stays below COMMON for texts of up to BUCKETS * COMMON shingles on average.
@@ -48,17 +50,22 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> U64(31))
 
 
-def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending, and their counts; a text of fewer words is one shingle, an empty one none."""
+def rolled_shingles(text: str, hashes: WordHashes) -> np.ndarray:
+    """Shingle hashes in their order; a text of fewer words is one shingle, an empty one none."""
     words = text.lower().split()
     if not words:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64)
     h = np.fromiter(map(hashes.__getitem__, words), U64, len(words))
     width = min(SHINGLE, len(h))
     rolled = h[: len(h) - width + 1].copy()
     for i in range(1, width):
         rolled = rolled * U64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i]
-    return np.unique(mixed(rolled + U64(width)), return_counts=True)
+    return mixed(rolled + U64(width))
+
+
+def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ascending, and their counts."""
+    return np.unique(rolled_shingles(text, hashes), return_counts=True)
 
 
 class Weights:
@@ -127,9 +134,9 @@ def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
 def common_shingles(rows: DataFrame) -> list[tuple[int, int]]:
     """Shingles that more than COMMON of all documents have, with their document counts.
 
-    Pass one counts (document, shingle) pairs per hash bucket; a common shingle makes its bucket heavy. Pass two counts the shingles of heavy buckets
-    one by one. Both passes sum per task before they shuffle and cover all documents; what reaches the driver is bounded by
-    BUCKETS bits and by (shingles per document) / COMMON rows.
+    Pass one counts shingles per hash bucket; a common shingle makes its bucket heavy, as it occurs at least as often as it has documents. Pass two
+    counts the documents of each shingle of the heavy buckets. Both passes sum per task before they shuffle and cover all documents;
+    what reaches the driver is bounded by BUCKETS bits and by (shingles per document) / COMMON rows.
     """
     documents = rows.count()
     least = max(2, math.ceil(COMMON * documents))
@@ -138,7 +145,11 @@ def common_shingles(rows: DataFrame) -> list[tuple[int, int]]:
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for t in batch.column("text"):
-                np.add.at(counts, (shingles(t.as_py(), hashes)[0] % U64(BUCKETS)).astype(np.int64), 1)
+                found = (rolled_shingles(t.as_py(), hashes) & U64(BUCKETS - 1)).astype(np.int64)
+                if len(found) > BUCKETS:
+                    counts += np.bincount(found, minlength=BUCKETS)
+                else:
+                    np.add.at(counts, found, 1)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full])], names=["bucket", "n"])
 
@@ -149,7 +160,8 @@ def common_shingles(rows: DataFrame) -> list[tuple[int, int]]:
     def by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [h[heavy[(h % U64(BUCKETS)).astype(np.int64)]] for h in (shingles(t.as_py(), hashes)[0] for t in batch.column("text"))]
+            rolled = (rolled_shingles(t.as_py(), hashes) for t in batch.column("text"))
+            found = [np.unique(h[heavy[(h & U64(BUCKETS - 1)).astype(np.int64)]]) for h in rolled]
             known, counts = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"]
@@ -208,15 +220,11 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a string, b string")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Weights, stored: Stored) -> DataFrame:
-    """The pairs whose exact weighted Jaccard similarity reaches SIMILAR.
-
-    Only texts that a pair needs are cut into shingles again, once per distinct text. A pair then gets the shingles of its ``b`` and of its ``a`` by
-    plain joins, so Spark can split a text with very many pairs.
-    """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = needed.join(keepers, "node")
-    chosen = rows.join(wanted, ["node", "id_text"], "left_semi")
+def shingle_sets(
+    needed: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Weights, stored: Stored
+) -> DataFrame:
+    """Shingle hashes and weights of the needed nodes, cut from one text each."""
+    chosen = rows.join(needed.join(keepers, "node"), ["node", "id_text"], "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -231,9 +239,18 @@ def verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Wei
                 names=["node", "hashes", "weights"],
             )
 
-    sets = stored.save(
+    return stored.save(
         chosen.select("node", "text").mapInArrow(cut, "node string, hashes binary, weights binary").dropDuplicates(["node"])
     )
+
+
+def verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Weights, stored: Stored) -> DataFrame:
+    """The pairs whose exact weighted Jaccard similarity reaches SIMILAR.
+
+    Only texts that a pair needs are cut into shingles again, once per distinct text. A pair then gets the shingles of its ``b`` and of its ``a`` by
+    plain joins, so Spark can split a text with very many pairs.
+    """
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), rows, keepers, weights, stored)
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
 
@@ -247,7 +264,98 @@ def verified(pairs: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Wei
             ]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return stored.save(pairs.join(right, "b").join(left, "a").mapInArrow(compare, "a string, b string"))
+    links = stored.save(pairs.join(right, "b").join(left, "a").mapInArrow(compare, "a string, b string"))
+    stored.drop(sets)
+    return links
+
+
+def rooms(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that are not one class yet, dealt into rooms of at most about 2 * ROOM members.
+
+    Links can only be missing between members of different labels, so only members outside a bucket's largest label (``minor``) need to
+    be compared: part i of them meets part j of all members in room (bucket, i, j). Pairs with the pivot are done.
+    """
+    labelled = placed.where("node != pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed_ = (
+        by_label.groupBy("bucket")
+        .agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("members"))
+        .where("members > largest.n")
+        .select(
+            "bucket",
+            F.col("largest.label").alias("largest"),
+            F.ceil(F.col("members") / ROOM).alias("parts"),
+            F.ceil((F.col("members") - F.col("largest.n")) / ROOM).alias("minor_parts"),
+        )
+    )
+    met = labelled.join(mixed_, "bucket").withColumn("draw", F.xxhash64("node")).withColumn("minor", F.col("label") != F.col("largest"))
+    rest = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = F.transform(rest("minor_parts"), lambda i: F.struct(i.alias("i"), F.pmod("draw", "parts").alias("j"), F.lit(False).alias("asks")))
+    as_minor = F.transform(rest("parts"), lambda j: F.struct(F.pmod("draw", "minor_parts").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    both = F.when(F.col("minor"), F.concat(as_member, as_minor)).otherwise(as_member)
+    return met.select("bucket", "band", "node", "label", F.explode(both).alias("at")).select(
+        "bucket", "band", "node", "label", "at.*"
+    )
+
+
+def askers_and_members(room: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking row of a room, the member rows that enough samples agree with and that no earlier band has brought together."""
+    asks = np.array(room.column("asks").to_pylist(), dtype=bool)
+    drawn = np.frombuffer(b"".join(room.column("samples").to_pylist()), np.int32).reshape(len(asks), -1)
+    labels, nodes = np.array(room.column("label").to_pylist()), np.array(room.column("node").to_pylist())
+    band = room.column("band")[0].as_py()
+    members = np.flatnonzero(~asks)
+    for x in np.flatnonzero(asks):
+        same = drawn[members] == drawn[x]
+        met_before = same.reshape(len(members), BANDS, ROWS)[:, :band].all(axis=2).any(axis=1)
+        good = (same.sum(axis=1) >= AGREEING) & ~met_before & (labels[members] != labels[x]) & (nodes[members] != nodes[x])
+        if good.any():
+            yield x, members[good]
+
+
+def linked_in_rooms(
+    dealt: DataFrame, drawn: DataFrame, rows: DataFrame, keepers: DataFrame, weights: Weights, stored: Stored
+) -> DataFrame:
+    """Links between labels that the rooms hold, verified exactly; a pair of labels that a room has joined is not asked for again there."""
+    key = ["bucket", "i", "j"]
+
+    def survey(room: pa.Table) -> pa.Table:
+        wanted = set()
+        for x, near in askers_and_members(room):
+            wanted.add(x)
+            wanted.update(near.tolist())
+        return room.take(pa.array(sorted(wanted), pa.int64()))
+
+    kinds = "bucket long, band int, node string, label string, i long, j long, asks boolean, samples binary"
+    with_drawn = dealt.join(drawn, "node").select("bucket", "band", "node", "label", "i", "j", "asks", "samples")
+    kept = stored.save(with_drawn.groupBy(*key).applyInArrow(survey, kinds))
+    sets = shingle_sets(kept.select("node").distinct(), rows, keepers, weights, stored)
+
+    def verify(room: pa.Table) -> pa.Table:
+        label, parent = room.column("label").to_pylist(), {}
+        node = room.column("node").to_pylist()
+        own = [
+            (np.frombuffer(h.as_py(), U64), np.frombuffer(w.as_py(), np.float32))
+            for h, w in zip(room.column("hashes"), room.column("weights"), strict=True)
+        ]
+
+        def root(x: str) -> str:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for x, near in askers_and_members(room):
+            for m in near.tolist():
+                if root(label[x]) != root(label[m]) and similarity(own[x], own[m]) >= SIMILAR - 1e-6:
+                    parent[root(label[x])] = root(label[m])
+                    found.append((node[x], node[m]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.string()), "b": pa.array([b for _, b in found], pa.string())})
+
+    links = stored.save(kept.join(sets, "node").groupBy(*key).applyInArrow(verify, "a string, b string"))
+    stored.drop(sets)
+    stored.drop(kept)
+    return links
 
 
 def components(links: DataFrame, stored: Stored) -> DataFrame:
@@ -284,7 +392,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     signed = stored.save(signatures(rows, weights).dropDuplicates(["node"]))
     # One row of each text stands for its copies.
     keepers = rows.groupBy("node").agg(F.min("id_text").alias("id_text"))
-    buckets = signed.select("node", F.explode("bands").alias("bucket"))
+    buckets = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     placed = stored.save(buckets.join(pivots, "bucket"))
     drawn = signed.select("node", "samples")
@@ -292,19 +400,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     links = verified(stored.save(agreeing(with_samples(candidates, drawn))), rows, keepers, weights, stored)
     labels = components(links, stored)
     # A bucket whose members are not yet in one class can hold links between members other than its pivot.
-    labelled = placed.where("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_buckets = labelled.groupBy("bucket").agg(F.count_distinct("label").alias("labels")).where("labels > 1").select("bucket")
-    left = stored.save(labelled.where("node != pivot").join(mixed_buckets, "bucket").select("bucket", "node", "label"))
-    rest = (
-        left.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        .join(left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket")
-        .where("a < b and la != lb")
-        .select("a", "b")
-        .distinct()
-    )
-    more = stored.save(agreeing(with_samples(rest, drawn)))
+    dealt = stored.save(rooms(placed.where("members > 2"), labels))
+    more = linked_in_rooms(dealt, drawn, rows, keepers, weights, stored)
     if more.limit(1).count():
-        labels = components(links.union(verified(more, rows, keepers, weights, stored)), stored)
+        labels = components(links.union(more), stored)
+    for done in (signed, placed, dealt):
+        stored.drop(done)
     return marked, labels
 
 
@@ -320,8 +421,9 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     Two documents are linked if their texts are equal or the weighted Jaccard similarity of their TF-IDF shingles is at least SIMILAR; a class is a
     connected set of documents, named by its least id, which is the one that is kept. Equal texts are one node from the start. Nodes that
-    share a band meet in a bucket; all members are verified against the bucket's least node, and buckets that are not one class after that have
-    their remaining pairs verified too, so no link is left out because its bucket is large.
+    share a band meet in a bucket; all members are verified against the bucket's least node. Where a bucket is not one class after that, the
+    members outside its largest class are compared with all others in rooms of bounded size, until the classes are joined or every pair of
+    different classes has been looked at, so no class is left apart because its bucket is large.
 
     Cases: null and empty texts are equal to each other and to nothing else; texts of fewer than five words are one shingle. A null id is never a
     class id unless its class has no other, and such rows are all kept. Rows that repeat an id and a text share a verdict. No rows in, no rows
