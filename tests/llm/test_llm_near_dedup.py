@@ -54,7 +54,10 @@ def varied(count, length, changes, seed=1):
     return out
 
 
-def test_against_brute_force(make):
+# Rooms of a few members split every bucket into many parts.
+@pytest.mark.parametrize("room", [1024, 5])
+def test_against_brute_force(make, monkeypatch, room):
+    monkeypatch.setattr(module, "ROOM", room)
     texts = varied(60, 150, 3) + varied(30, 400, 25, 2) + varied(10, 60, 1, 3) + varied(12, 6, 0, 4) + [None, "", "a b", "a b"]
     rows = list(enumerate(texts))
     assert result(make([(i, t, "a") for i, t in rows])) == brute(rows)
