@@ -19,7 +19,7 @@ BANDS, ROWS = 12, 3
 #: A pair goes on to exact verification if this many samples agree; at similarity 0.8 fewer do with probability 0.0001.
 AGREEING = 19
 #: Members of a bucket that one task compares with as many others.
-ROOM = 512
+ROOM = 1024
 #: Document frequencies above this share lower a shingle's weight; all rarer ones weigh alike. At most (shingles per text) / COMMON are above it.
 COMMON = 1 / 256
 #: Hash buckets of the first counting pass; their mean load stays below COMMON for texts of up to BUCKETS * COMMON shingles on average.
