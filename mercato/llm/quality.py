@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from mercato.llm.labelled import labelled_sample
 
 #: Labelled texts that the model is fitted on; bounds the fit's memory on the driver.
-FIT_ROWS = 8_000
+FIT_ROWS = 4_000
 #: Hashed word features, then hashed word shapes, then the share of words that repeat the word before.
 WORDS, SHAPES = 1 << 16, 1 << 12
 DIMENSIONS = WORDS + SHAPES + 1
