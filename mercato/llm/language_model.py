@@ -24,7 +24,7 @@ from pyspark.sql.types import (
 from mercato.llm.common import Stored, whole
 
 #: Tokens after which a task starts a new block, and n-grams that one counting group holds on average; both bound the memory of a task.
-BLOCK_TOKENS, GROUP_KEYS = 1 << 21, 1 << 21
+BLOCK_TOKENS, GROUP_KEYS = 1 << 20, 1 << 21
 #: Strength of the shorter context in the smoothed probability, by order of the n-gram.
 STRENGTH = {2: 200.0, 3: 50.0}
 #: Local numbers of the two marks: a text's start (a state, never a token) and its end (a token).
