@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mercato.llm.common import whole
 
-#: Tokens of a template window. Items with fewer tokens have no window and are never reported.
+#: Tokens of a template window; an item with fewer tokens is one window as a whole.
 WINDOW = 8
 #: Part of an item's template that a document must have, and part of its slots that one substitution must explain.
 COVERED, CONSISTENT = 0.5, 0.9
+#: Diagonals of one match are at most this far apart, and at most a quarter of the item.
+DRIFT = 8
 #: A benchmark with more windows than this is joined by shuffling instead of being broadcast.
 BROADCAST_WINDOWS = 1_000_000
 #: A letter that opens a slot's mark; it survives the cut into tokens.
@@ -56,83 +59,149 @@ def shape_of(word: Column) -> Column:
     )
 
 
-def template(listed: str) -> Column:
-    """Tokens with every slot replaced by its type."""
-    return F.transform(listed, shape_of)
+def shape_of_value(value: Column) -> Column:
+    """The shape of a value of :func:`collapsed`: that of its first word."""
+    return shape_of(F.substring_index(value, " ", 1))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """Every template window of every row's ``words``: the other columns, ``at`` and ``window`` (a hash)."""
+def collapsed(rows: DataFrame) -> DataFrame:
+    """``words`` (at least one) as ``values``: a run of slots of one type is one value, so 'Mary Ann' has the place of 'Anna'."""
     others = [c for c in rows.columns if c != "words"]
-    hashed = rows.where(F.size("words") >= WINDOW).select(
-        *others, F.transform("words", lambda w: F.xxhash64(shape_of(w))).alias("h")
+    typed = rows.withColumn("types", F.transform("words", shape_of))
+    goes_on = lambda i: F.get("types", i).startswith(MARK) & (F.get("types", i) == F.get("types", i - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(i), F.lit(False)))
+    return typed.select(*others, "words", starts.alias("starts")).select(
+        *others,
+        F.transform(
+            "starts",
+            lambda s, j: F.array_join(
+                F.slice("words", s + 1, F.coalesce(F.get("starts", j + 1), F.size("words")) - s), " "
+            ),
+        ).alias("values"),
     )
-    rolled = F.transform(
-        F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(WINDOW)))
+
+
+def windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Template windows of the given lengths of every row's ``words``: the other columns, ``at`` and ``window`` (a hash)."""
+    others = [c for c in rows.columns if c != "words"]
+    slots = [F.xxhash64(F.lit(f"{MARK}{t}")) for t in "pun"]
+    hashed = rows.select(*others, F.transform("words", lambda w: F.xxhash64(shape_of(w))).alias("h"))
+    # A run of slots of one type is one token, as in :func:`collapsed`.
+    hashed = hashed.select(*others, F.filter("h", lambda x, i: (i == 0) | (x != F.get("h", i - 1)) | ~x.isin(*slots)).alias("g"))
+    # As many places for each length; a window that would pass the end is null. A filter on the size would have Spark cut the text twice.
+    begins = F.when(F.size("g") > 0, F.sequence(F.lit(1), F.size("g")))
+    of_length = lambda n: F.transform(
+        begins, lambda i: F.when(i + n - 1 <= F.size("g"), F.xxhash64(F.slice("g", i, F.lit(n))))
     )
-    return hashed.select(*others, F.posexplode(rolled).alias("at", "window"))
+    rolled = [of_length(n) for n in lengths]
+    listed = hashed.select(*others, F.size("g").alias("places"), F.posexplode(F.concat(*rolled)).alias("at", "window"))
+    return listed.select(*others, (F.col("at") % F.col("places")).alias("at"), "window")
+
+
+def consistency_of(pairs: Column) -> Column:
+    """Part of the distinct pairs (a: the item's value, b: the document's) that one substitution explains."""
+    distinct = F.size(F.array_distinct(pairs))
+    values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+    against = distinct - F.least(values("a"), values("b"))
+    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(1 - against / distinct)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Documents that hold an item, whatever its numbers, names and units: key, text_hash, item_id, coverage, consistency.
 
-    Windows of template tokens meet by hash and vote for their diagonal (place in the document minus place in the item). The best diagonal of each
-    (document, item) is then read token by token: ``coverage`` is the part of the item's template found there, and
-    ``consistency`` the part of its slots that fit one substitution, by which equal values of the item become equal values in the document
-    and different ones stay different.
+    Runs of slots of one type are one token. Windows of template tokens (the whole item, if it is shorter than WINDOW) meet by hash, and every
+    diagonal (place in the document minus place in the item) with a window is read token by token: ``coverage`` is the part of the item's template
+    found there, and ``consistency`` the part of the slots in matched windows that fit one substitution, by which equal values of the item become
+    equal values in the document and different ones stay different. Diagonals up to DRIFT and a quarter of the item apart are also taken together, by
+    their matched windows, which lets words be added or left out. What is verified counts, and the best of it is reported.
+
+    An item of slots alone must be there with its own values.
     """
     source = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("text_hash"), whole(text).alias("text"))
     items = (
         benchmark.where(F.col("item_id").isNotNull())
         .select("item_id", tokens(whole()).alias("words"))
         .distinct()
-        .withColumn("shape", template("words"))
-        .where(F.size("shape") >= WINDOW)
+        .where(F.size("words") >= WINDOW)
         # Items of one id with different texts are told apart by their words.
         .withColumn("item_hash", F.xxhash64("words"))
     )
-    known = windows(items.select("item_id", "item_hash", "words")).withColumnRenamed("at", "place")
-    if known.count() <= BROADCAST_WINDOWS:
+    items = collapsed(items).select(
+        "item_id", "item_hash", F.col("values").alias("item"), F.transform("values", shape_of_value).alias("item_shape")
+    )
+    items = items.withColumn("n", F.size("item_shape")).withColumn("span", F.least(F.lit(WINDOW), "n"))
+    spans = items.groupBy("span").agg(F.sum(F.col("n") - F.col("span") + 1).alias("windows")).collect()
+    lengths = sorted(r["span"] for r in spans) or [WINDOW]
+    hashes = items.select("item_id", "item_hash", "n", "span", F.transform("item_shape", lambda w: F.xxhash64(w)).alias("h"))
+    rolled = F.transform(
+        F.sequence(F.lit(1), F.col("n") - F.col("span") + 1), lambda i: F.xxhash64(F.slice("h", i, F.col("span")))
+    )
+    known = hashes.select("item_id", "item_hash", "n", "span", F.posexplode(rolled).alias("place", "window"))
+    if sum(r["windows"] for r in spans) <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    found = windows(source.select("key", "text_hash", tokens(F.col("text")).alias("words"))).join(known, "window")
+    found = windows(source.select("key", "text_hash", tokens(F.col("text")).alias("words")), lengths).join(known, "window")
     of = ["key", "text_hash", "item_id", "item_hash"]
-    votes = found.groupBy(*of, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count_distinct("place").alias("votes"))
-    best = votes.groupBy(*of).agg(F.max(F.struct("votes", (-F.col("diagonal")).alias("back"))).alias("best"))
-    candidates = best.select(*of, (-F.col("best.back")).alias("diagonal"))
+    diagonals = found.groupBy(*of, "n", "span", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        F.collect_set("place").alias("places")
+    )
+    candidates = diagonals.groupBy("key", "text_hash").agg(
+        F.collect_list(F.struct("item_id", "item_hash", "n", "span", "diagonal", "places")).alias("listed")
+    )
 
-    # Only the texts of candidates are cut into tokens again.
+    # Only the texts of candidates are cut into tokens again, once for all their diagonals.
     texts = source.withColumnsRenamed({"key": "k", "text_hash": "t"})
     met = candidates.join(texts, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("t")))
-    met = met.select(*of, "diagonal", tokens(F.col("text")).alias("words")).join(
-        items.select("item_id", "item_hash", F.col("words").alias("item"), F.col("shape").alias("item_shape")),
-        ["item_id", "item_hash"],
+    met = collapsed(met.select("key", "text_hash", "listed", tokens(F.col("text")).alias("words")))
+    # The stretch of the document that lies under the item, as far as the text goes.
+    first = lambda c: F.greatest(c["diagonal"], F.lit(0))
+    reach = lambda c: F.least(c["diagonal"] + c["n"], F.size("values")) - first(c)
+    cut = F.transform("listed", lambda c: F.struct(c.alias("c"), F.slice("values", first(c) + 1, reach(c)).alias("there")))
+    read = (
+        met.select("key", "text_hash", F.explode(cut).alias("x"))
+        .select("key", "text_hash", "x.c.*", "x.there")
+        # Repeated rows give the same stretch.
+        .groupBy(*of, "n", "span", "diagonal")
+        .agg(F.first("places").alias("places"), F.first("there").alias("there"))
+        .join(items.drop("n", "span"), ["item_id", "item_hash"])
     )
-    # The stretch of the document that lies under the item; a place before or after the text is null.
-    under = F.transform(
-        F.sequence(F.lit(0), F.size("item") - 1),
-        lambda i: F.when(i + F.col("diagonal") >= 0, F.get("words", (i + F.col("diagonal")).cast("int"))),
+    under = lambda i: F.get("there", i - F.greatest(-F.col("diagonal"), F.lit(0)))
+    same = F.transform("item_shape", lambda w, i: F.coalesce(w == shape_of_value(F.when(i + F.col("diagonal") >= 0, under(i))), F.lit(False)))
+    matched = lambda i: F.exists("places", lambda v: (v <= i) & (i < v + F.col("span")))
+    cells = F.filter(
+        F.transform("item", lambda a, i: F.when(matched(i), F.struct(i.alias("place"), a.alias("a"), under(i).alias("b")))),
+        lambda c: c.isNotNull(),
     )
-    read = met.select(*of, "item", "item_shape", under.alias("there")).withColumn("shape", template("there"))
-    pairs = F.filter(
-        F.transform(
-            "item_shape",
-            lambda w, i: F.when(
-                w.startswith(MARK) & (w == F.get("shape", i)),
-                F.struct(F.get("item", i).alias("a"), F.get("there", i).alias("b")),
-            ),
-        ),
-        lambda p: p.isNotNull(),
+    read = read.select(
+        *of,
+        "n",
+        "diagonal",
+        (F.size(F.filter(same, lambda x: x)) / F.col("n")).alias("coverage"),
+        F.exists("item_shape", lambda w: ~w.startswith(MARK)).alias("worded"),
+        cells.alias("cells"),
     )
-    same = F.size(F.filter(F.zip_with("item_shape", "shape", lambda a, b: a == b), lambda x: x))
-    read = read.select(*of, (same / F.size("item_shape")).alias("coverage"), pairs.alias("pairs"))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    # Substitutions beyond one per value of either side contradict another one.
-    distinct = F.size(F.array_distinct("pairs"))
-    against = distinct - F.least(values("a"), values("b"))
-    consistency = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(1 - against / distinct)
+    near = Window.partitionBy(*of).orderBy("diagonal").rangeBetween(0, DRIFT)
+    read = read.withColumn("near", F.collect_list(F.struct(F.size("cells").alias("held"), "diagonal", "cells")).over(near))
+    # A place that several diagonals hold counts where most is held.
+    close = F.filter("near", lambda d: d["diagonal"] - F.col("diagonal") <= F.col("n") / 4)
+    joined = F.aggregate(
+        F.reverse(F.array_sort(close)),
+        F.filter("cells", lambda c: F.lit(False)),
+        lambda all_, d: F.concat(all_, F.filter(d["cells"], lambda c: ~F.exists(all_, lambda x: x["place"] == c["place"]))),
+    )
+    alone = F.struct("coverage", F.col("cells").alias("cells"))
+    together = F.struct((F.size("joined") / F.col("n")).alias("coverage"), F.col("joined").alias("cells"))
+    read = read.withColumn("joined", joined).select(*of, "n", "worded", F.explode(F.array(alone, together)).alias("x"))
+    words_in = lambda value: F.size(F.split(value, " "))
+    # At an edge of the item, a slot of the text around it may have run into the item's.
+    ran_in = lambda c: ((c["place"] == 0) | (c["place"] == F.col("n") - 1)) & (words_in(c["b"]) > words_in(c["a"]))
+    slots = F.filter("x.cells", lambda c: shape_of_value(c["a"]).startswith(MARK) & ~ran_in(c))
+    own = F.forall("x.cells", lambda c: F.concat(F.lit(" "), c["b"], F.lit(" ")).contains(F.concat(F.lit(" "), c["a"], F.lit(" "))))
+    pairs = F.transform(slots, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b")))
     return (
-        read.select(*of, "coverage", consistency.alias("consistency"))
-        .where((F.col("coverage") >= COVERED) & (F.col("consistency") >= CONSISTENT))
+        read.where((F.col("x.coverage") >= COVERED) & (F.col("worded") | own))
+        .select(*of, F.col("x.coverage").alias("coverage"), pairs.alias("pairs"))
+        .select(*of, "coverage", consistency_of(F.col("pairs")).alias("consistency"))
+        .where(F.col("consistency") >= CONSISTENT)
         .groupBy("key", "text_hash", "item_id")
         .agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"))
     )
@@ -141,8 +210,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with ``contaminated``, ``items`` (ascending item ids) and ``coverage`` (of the best item, else 0).
 
-    Cases: null and empty texts and texts of fewer than WINDOW tokens are clean; a null id is matched like any other; items without an id are left
-    out; rows that repeat an id and a text share a verdict. No rows in, no rows out; an empty benchmark leaves all clean. Input columns named
+    Cases: null and empty texts are clean; an item of few tokens is found wherever its whole template is; a null id is matched like any other; items
+    without an id or without a token are left out; rows that repeat an id and a text share a verdict. No rows in, no rows out; an empty benchmark leaves all clean. Input columns named
     like a result column are replaced.
     """
     verdicts = (

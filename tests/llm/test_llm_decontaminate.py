@@ -67,3 +67,16 @@ def test_repeated_rows_share_a_verdict(make, benchmark):
 def test_native_plan(small, benchmark):
     plan = module.decontaminate(small, benchmark)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def found_items(make, spark, text, *docs):
+    benchmark = spark.createDataFrame([(1, text)], "item_id long, text string")
+    frame = make([(i, d, "a") for i, d in enumerate(docs)])
+    return [bool(r["items"]) for r in sorted(module.decontaminate(frame, benchmark).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_every_diagonal_is_read(make, spark):
+    longer = CHANGED.replace("Clara", "Mary Ann").replace("15", "twenty five")
+    # Two words more in two places: no single diagonal holds half of the item.
+    added = CHANGED.replace("every morning", "early every single morning").replace("how much money", "how very much money")
+    assert found_items(make, spark, ITEM, FILLER + MUDDLED + " " + FILLER + ITEM, longer, added, MUDDLED) == [True, True, True, False]
