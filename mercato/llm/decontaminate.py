@@ -37,15 +37,35 @@ NUMBER_WORDS = (
     "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
 )
 
+# Words that begin sentences and are no names.
+STARTERS = (
+    "The", "An", "If", "How", "What", "When", "Where", "Which", "Who", "Why", "In", "On", "At", "By", "For", "From", "To", "Of", "And", "But", "Or",
+    "So", "As", "It", "Its", "He", "She", "We", "You", "They", "His", "Her", "Their", "Our", "My", "Your", "This", "That", "These", "Those", "There",
+    "Then", "Than", "After", "Before", "Each", "Every", "All", "Some", "Many", "Most", "One", "Is", "Are", "Was", "Were", "Do", "Does", "Did", "Can",
+    "Could", "Will", "Would", "Should", "Has", "Have", "Had", "Let", "Given", "Find", "Suppose", "With", "While", "Not", "No", "Yes", "Now", "Here",
+    "Der", "Die", "Das", "Ein", "Eine", "Es", "Er", "Sie", "Wir", "Ich", "Und", "Aber", "Wenn", "Wie", "Was", "Wer", "Wo", "Im", "Am", "Ist",
+    "Le", "La", "Les", "Un", "Une", "Il", "Elle", "On", "Nous", "Vous", "Si", "Et", "Mais", "Que", "Qui", "Dans", "En", "El", "Los", "Las", "Una", "Unos",
+    "Pero", "Cuando", "Como", "Quand", "Comment", *(w.capitalize() for w in NUMBER_WORDS),
+)
+_EDGE, _GAP = r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]{1,3}"
+#: Where a name begins; see :func:`tokens`.
+NAME = (
+    r"(?=\p{Lu}\p{L})(?<![\p{L}\p{N}])(?:"
+    rf"(?=.\p{{Ll}})(?:(?<=[\p{{L}}\p{{N}},;] )|(?!(?:{'|'.join(dict.fromkeys(STARTERS))}){_EDGE}))"
+    rf"|(?=\p{{Lu}}{{2}})(?:(?<!\p{{Lu}}{{2}}{_GAP})(?=\p{{Lu}}{{2,}}{_EDGE}(?:{_GAP}\p{{Lu}}{{2,}}{_EDGE})?+(?!{_GAP}\p{{Lu}}{{2}}))"
+    rf"|(?<=(?:^|[^\p{{Lu}}]){_GAP}\p{{Lu}}{{2,20}}{_GAP}|^\p{{Lu}}{{2,20}}{_GAP})(?=\p{{Lu}}{{2,}}{_EDGE}(?!{_GAP}\p{{Lu}}{{2}}))))"
+)
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text; names and units carry a mark.
 
-    A name is a capitalised word after a word or a comma on the same line, so the first word of a sentence is none. A unit follows a number.
+    A name is a capitalised word: any after a word or a comma on the same line, and elsewhere (at the start of a sentence, a line or a quotation)
+    any but ``STARTERS``. Of words in capitals, at most two in a row are names; more are shouted text. A unit follows a number.
     """
     # Each pattern begins with what is rare, so most characters are passed over at once.
     joined = F.regexp_replace(text, r"[.,](?<=[0-9].)(?=[0-9])", POINT)
-    named = F.regexp_replace(joined, r" (?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )", f" {MARK}p")
+    named = F.regexp_replace(joined, NAME, f"{MARK}p")
     measured = F.regexp_replace(named, rf"([0-9]) ?(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f"$1 {MARK}u")
     return F.filter(F.split(F.lower(measured), SEPARATORS), lambda w: w != "")
 
@@ -122,7 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
         benchmark.where(F.col("item_id").isNotNull())
         .select("item_id", tokens(whole()).alias("words"))
         .distinct()
-        .where(F.size("words") >= WINDOW)
+        .where(F.size("words") > 0)
         # Items of one id with different texts are told apart by their words.
         .withColumn("item_hash", F.xxhash64("words"))
     )

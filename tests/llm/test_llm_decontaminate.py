@@ -80,3 +80,15 @@ def test_every_diagonal_is_read(make, spark):
     # Two words more in two places: no single diagonal holds half of the item.
     added = CHANGED.replace("every morning", "early every single morning").replace("how much money", "how very much money")
     assert found_items(make, spark, ITEM, FILLER + MUDDLED + " " + FILLER + ITEM, longer, added, MUDDLED) == [True, True, True, False]
+
+
+def test_short_items_and_sentence_initial_names(make, spark):
+    short = "Which river crosses the desert?"
+    assert found_items(make, spark, short, FILLER + short + " " + FILLER, short, FILLER + "Which river crosses the plain?") == [True, True, False]
+    assert found_items(make, spark, "Paris", FILLER + "in Paris " + FILLER, "in London") == [True, False]
+    names = "{} has 12 apples. {} has 7 pears.\n{} has 3 plums. {} buys 5 figs. {} sells 2 nuts."
+    item = names.format("Anna", "Bob", "Carl", "Anna", "Bob")
+    copy = names.format("Dora", "Emil", "Fritz", "Dora", "Emil").replace("12", "8")
+    capitals = names.format("DORA", "EMIL", "FRITZ", "DORA", "EMIL")
+    muddled = names.format("Dora", "Emil", "Fritz", "Gerd", "Hans")
+    assert found_items(make, spark, item, item, FILLER + "Said Tom. " + copy, capitals, muddled) == [True, True, True, False]
