@@ -121,8 +121,7 @@ def windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
 def consistency_of(pairs: Column) -> Column:
     """Part of the distinct pairs (a: the item's value, b: the document's) that one substitution explains."""
     distinct = F.size(F.array_distinct(pairs))
-    values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
-    against = distinct - F.least(values("a"), values("b"))
+    against = distinct - F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"])))
     return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(1 - against / distinct)
 
 
@@ -132,7 +131,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     Runs of slots of one type are one token. Windows of template tokens (the whole item, if it is shorter than WINDOW) meet by hash, and every
     diagonal (place in the document minus place in the item) with a window is read token by token: ``coverage`` is the part of the item's template
     found there, and ``consistency`` the part of the slots in matched windows that fit one substitution, by which equal values of the item become
-    equal values in the document and different ones stay different. Diagonals up to DRIFT and a quarter of the item apart are also taken together, by
+    equal values in the document; different ones may become equal. Diagonals up to DRIFT and a quarter of the item apart are also taken together, by
     their matched windows, which lets words be added or left out. What is verified counts, and the best of it is reported.
 
     An item of slots alone must be there with its own values.
