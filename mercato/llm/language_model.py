@@ -25,8 +25,16 @@ from mercato.llm.common import Stored, whole
 
 #: Tokens after which a task starts a new block, and n-grams that one counting group holds on average; both bound the memory of a task.
 BLOCK_TOKENS, GROUP_KEYS = 1 << 20, 1 << 21
-#: Strength of the shorter context in the smoothed probability, by order of the n-gram.
-STRENGTH = {2: 200.0, 3: 50.0}
+
+
+class Strengths(dict):
+    """Strength of the shorter context in the smoothed probability, by order of the n-gram; from order 4 on that of order 3."""
+
+    def __missing__(self, n: int) -> float:
+        return self[3]
+
+
+STRENGTH = Strengths({2: 200.0, 3: 50.0})
 #: Local numbers of the two marks: a text's start (a state, never a token) and its end (a token).
 START, END = 0, 1
 
@@ -266,7 +274,7 @@ def follow(
     return score, base, is_token & (word_count > 0)
 
 
-def score(docs: DataFrame, training: Column, order: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, training: Column, order: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, training, n_tokens, n_known, train_tokens, base_score, score.
 
     The n-grams of ``order`` and below are counted over all training texts, none left out, and smoothed as

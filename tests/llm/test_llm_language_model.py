@@ -82,3 +82,13 @@ def test_empty_table_and_no_training(nothing, messy):
 def test_better_than_words_alone(small):
     held = module.score(small, remainder_of_id("doc_id", 7) != 2).where("not training").agg(F.sum("base_score"), F.sum("score")).first()
     assert held[1] > held[0]
+
+
+def test_order_of_the_query_and_beyond(small, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_TOKENS", 3000)
+    rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").limit(30).collect()]
+    docs = small.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    found = module.score(docs, remainder_of_id("doc_id", 7) != 2).select("score").collect()
+    assert sorted(r[0] for r in found) == pytest.approx(sorted(r[-1] for r in brute(rows, 3)), abs=1e-6)
+    got, want = by_key(run(docs, 5)), by_key(brute(rows, 5))
+    assert [g[-1] for g in got] == pytest.approx([w[-1] for w in want], abs=1e-6)
