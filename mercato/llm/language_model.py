@@ -53,18 +53,32 @@ def words(text: str) -> list[bytes]:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32, byte plane by byte plane, compressed."""
+    """Whole numbers from 0, byte plane by byte plane, compressed; as many planes as the largest needs, whose number comes first."""
     import zstandard
 
-    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    wide = numbers.astype("<u8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    planes = wide.view(np.uint8).reshape(-1, 8).T[:width]
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    width = packed[0]
+    planes = np.frombuffer(zstandard.decompress(packed[1:]), np.uint8).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return wide.view("<i8").reshape(-1)
+
+
+def pack_ascending(keys: np.ndarray) -> bytes:
+    """Ascending hashes by their differences, whose high bytes are mostly zero."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_ascending(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed).view(np.uint64), dtype=np.uint64)
 
 
 def hashes(vocabulary: Numbers) -> np.ndarray:
@@ -189,6 +203,15 @@ def grouped(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """For each list of keys their totals over all lists, and how many keys have a total above 0."""
+    known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(known), np.int64)
+    np.add.at(sums, inverse, np.concatenate(counts))
+    ends = np.cumsum([len(k) for k in keys])
+    return [sums[inverse[end - len(k) : end]] for k, end in zip(keys, ends, strict=True)], int((sums > 0).sum())
+
+
 def count(blocks: DataFrame, order: int, groups: int, stored: Stored) -> DataFrame:
     """Training counts of every n-gram of every block, over all blocks.
 
@@ -212,7 +235,7 @@ def count(blocks: DataFrame, order: int, groups: int, stored: Stored) -> DataFra
                             pa.array(full, pa.int32()),
                             pa.array([n] * len(full), pa.int32()),
                             pa.array([row["block"]] * len(full), pa.string()),
-                            pa.array([keys[parts[g]].tobytes() for g in full], pa.binary()),
+                            pa.array([pack_ascending(keys[parts[g]]) for g in full], pa.binary()),
                             pa.array([pack(counts[parts[g]]) for g in full], pa.binary()),
                         ],
                         names=["part", "n", "block", "keys", "counts"],
@@ -220,21 +243,15 @@ def count(blocks: DataFrame, order: int, groups: int, stored: Stored) -> DataFra
 
     def total(chunks: pa.Table) -> pa.Table:
         rows = chunks.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([unpack(r["counts"]) for r in rows]), len(known)).astype(np.int64)
-        answers, begin = [], 0
-        for k in keys:
-            answers.append(pack(np.minimum(sums[inverse[begin : begin + len(k)]], 0xFFFFFFFF)))
-            begin += len(k)
+        answers, types = summed([unpack_ascending(r["keys"]) for r in rows], [unpack(r["counts"]) for r in rows])
         one = rows[0]
         return pa.table(
             {
                 "block": pa.array([*(r["block"] for r in rows), None], pa.string()),
                 "n": pa.array([one["n"]] * (len(rows) + 1), pa.int32()),
                 "part": pa.array([one["part"]] * (len(rows) + 1), pa.int32()),
-                "totals": pa.array([*answers, None], pa.binary()),
-                "types": pa.array([None] * len(rows) + [int((sums > 0).sum())], pa.int64()),
+                "totals": pa.array([*map(pack, answers), None], pa.binary()),
+                "types": pa.array([None] * len(rows) + [types], pa.int64()),
             }
         )
 

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,10 @@ def test_order_of_the_query_and_beyond(small, monkeypatch):
     assert sorted(r[0] for r in found) == pytest.approx(sorted(r[-1] for r in brute(rows, 3)), abs=1e-6)
     got, want = by_key(run(docs, 5)), by_key(brute(rows, 5))
     assert [g[-1] for g in got] == pytest.approx([w[-1] for w in want], abs=1e-6)
+
+
+def test_counts_beyond_32_bits():
+    keys = [np.array([1, 2**63 + 5, 2**64 - 1], np.uint64), np.array([2**63 + 5], np.uint64), np.array([], np.uint64)]
+    answers, types = module.summed(keys, [np.array([1, 3_000_000_000, 0]), np.array([3_000_000_001]), np.array([], int)])
+    assert [module.unpack(module.pack(a)).tolist() for a in answers] == [[1, 6_000_000_001, 0], [6_000_000_001], []] and types == 2
+    assert all((module.unpack_ascending(module.pack_ascending(k)) == k).all() for k in keys)
