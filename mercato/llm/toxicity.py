@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -28,32 +29,39 @@ LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i",
     "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "ս": "u", "α": "a", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "ι": "i", "κ": "k",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "ꜱ": "s",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e",
+    "0": "o", "2": "z", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e",
 }
+# Signs that stand for one of several letters, which are told apart only by the term that they are compared with.
+AMBIGUOUS = {"1": "il", "6": "bg", "9": "gq"}
+#: Letters that share a sign as one class, for the automaton.
+CLASS = str.maketrans("l1bq69", "iigggg")
 # Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "killer whale", "dummy variable")
 
 BLANK = {c: " " for c in map(chr, range(128)) if not c.isalnum()}
-#: Sentence marks end a word; inside or before one, "!" and "|" stand for letters only where letters follow.
-FOLD = str.maketrans(
-    BLANK
-    | {c: " " for c in "«»„“”‘’…–—¿¡·•   "}
-    | LOOKALIKES
-    | {chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}
-    | {c: "" for c in "­​‌‍﻿"}
-    | {"!": " ", "|": " ", "$": "s", "@": "a"}
-)
+FOLD = BLANK | {c: " " for c in "«»„“”‘’…–—¿¡·•   "} | LOOKALIKES | {c: "" for c in "­​‌‍⁠﻿"}
+FOLD = str.maketrans(FOLD | {chr(0xFF01 + i): FOLD.get(c, c) for i, c in enumerate(map(str.lower, map(chr, range(0x21, 0x7F))))})
+#: "!" and "|" end a word, and before more of a word they are also read as "1".
+INNER = re.compile(r"[!|！｜](?=[\w@$€])")
 
 
 def folded(text: str) -> str:
-    """Lower case with look-alikes and digits folded to letters, punctuation as blanks, a blank at both ends."""
+    """Lower case with look-alikes and digits folded to letters or ambiguous signs, punctuation as blanks, a blank at both ends."""
     return f" {text.lower().translate(FOLD)} "
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, and if "!" or "|" can be letters in it, the text with them as such; both have the same places."""
+    inner = INNER.sub("1", text)
+    return [folded(text)] if inner == text else [folded(text), folded(inner)]
+
+
 def terms_of(text: str) -> set[str]:
     """Whole words and word beginnings of one text; a blank marks a word's edge."""
     found = set()
-    for word in set(folded(text).split()):
+    listed = {word for line in readings(text) for word in line.split()}
+    # An ambiguous sign counts as either of its letters.
+    for word in {word.translate({ord(c): of[i] for c, of in AMBIGUOUS.items()}) for word in listed for i in (0, 1)}:
         found.add(f" {word} ")
         found.update(f" {word[:n]}" for n in STEMS if len(word) > n)
     return found
@@ -72,26 +80,36 @@ class Lexicon:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            automaton.add_word(term, (len(term), weight))
-        for phrase in self.exceptions:
-            automaton.add_word(folded(phrase), (len(folded(phrase)), None))
+        classes: dict[str, list] = {}
+        for term, weight in [*self.weights.items(), *((folded(phrase), None) for phrase in self.exceptions)]:
+            classes.setdefault(term.translate(CLASS), []).append((term, weight))
+        for term, members in classes.items():
+            automaton.add_word(term, members)
         if len(automaton):
             automaton.make_automaton()
         return automaton
 
 
+def fits(part: str, term: str) -> bool:
+    """Whether a part of a folded text is the term, with each ambiguous sign as one of its letters."""
+    return part == term or all(a == b or b in AMBIGUOUS.get(a, "") for a, b in zip(part, term, strict=True))
+
+
 def evidence(text: str, automaton) -> tuple[float, int, int]:
     """Summed weights, matched words and words of one text.
 
     Of the terms that match at one word the heaviest counts; a word inside an exception phrase does not count.
     """
-    line = folded(text)
+    lines = readings(text)
     at_word: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    if len(automaton):
-        for end, (length, weight) in automaton.iter(line):
-            start = end - length + 1
+    for line in lines if len(automaton) else ():
+        for start, end, weight in (
+            (end - len(term) + 1, end, weight)
+            for end, members in automaton.iter(line.translate(CLASS))
+            for term, weight in members
+            if fits(line[end - len(term) + 1 : end + 1], term)
+        ):
             if weight is None:
                 spared.append((start, end))
             else:
@@ -99,7 +117,7 @@ def evidence(text: str, automaton) -> tuple[float, int, int]:
     for first, last in spared:
         for start in [s for s in at_word if first <= s < last]:
             del at_word[start]
-    return sum(at_word.values()), len(at_word), len(line.split())
+    return sum(at_word.values()), len(at_word), len(lines[0].split())
 
 
 def measures(weight: float, words: int) -> tuple[float, float]:

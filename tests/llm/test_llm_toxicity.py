@@ -16,6 +16,17 @@ def test_folding_and_exceptions():
     assert count("") == (0.0, 0, 0)
 
 
+def test_signs_inside_words():
+    lexicon = module.Lexicon({" idiot ": 3.0, " worthless ": 2.0, " bugger ": 2.0, " zombie ": 1.0, " fall ": 1.0})
+    matched = lambda t: module.evidence(t, lexicon.matcher())[:2]
+    for text in ("id!ot", "You !diot!", "ｉｄ！ｏｔ", "1d|ot", "idiot!you", "such an idiot!"):
+        assert matched(text) == (3.0, 1), text
+    for text in ("worth1ess", "worth|ess", "wor7h1e55", "6u99er", "8ugger", "2om6ie", "fa11", "f4l!l"):
+        assert matched(text)[1] == (text != "f4l!l"), text
+    assert matched("fail, worthiess, bog and zomgie") == (0.0, 0)
+    assert {" worthless ", " worthiess "} <= module.terms_of("worth1ess")
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     found = op10_toxicity_lexicon(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
