@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mercato.llm.common import Stored, whole
 
+#: Parts over which the rows that repeat a kept row are dealt.
+PARTS = 256
 #: Words of a shingle and the least weighted Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
 #: Samples per text: BANDS bands of ROWS. At similarity 0.8 all bands miss with probability (1 - 0.8**3)**12 < 0.0002.
@@ -426,24 +429,42 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     different classes has been looked at, so no class is left apart because its bucket is large.
 
     Cases: null and empty texts are equal to each other and to nothing else; texts of fewer than five words are one shingle. A null id is never a
-    class id unless its class has no other, and such rows are all kept. Rows that repeat an id and a text share a verdict. No rows in, no rows
-    out. Input columns named like a result column are replaced.
+    class id unless its class has no other. One row of each class is kept: of texts with the class id the one of least digest, and of rows that
+    repeat both, any. No rows in, no rows out. Input columns named like a result column are replaced.
     """
     marked, labels = classes(docs, text, key)
     ours = ("class_id", "class_size", "kept")
     names = [c for c in docs.columns if c not in ours]
     stored = Stored(docs.sparkSession)
     # Node by node: how its class is named. Both tables are stored, so the joins below are plain and can be split.
-    nodes = marked.groupBy("__node").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    by_id = marked.groupBy("__node", F.col(key).alias("__id")).agg(F.count("*").alias("n"))
+    # ``copies``: rows of the node that have its least id, or all if none has an id.
+    nodes = by_id.groupBy("__node").agg(
+        F.min("__id").alias("least"), F.coalesce(F.min_by("n", "__id"), F.sum("n")).alias("copies"), F.sum("n").alias("n")
+    )
     named = nodes.join(labels.withColumnRenamed("node", "__node"), "__node", "left").withColumn(
         "label", F.coalesce("label", "__node")
     )
     named = stored.save(named)
-    totals = stored.save(named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")))
+    keeper = F.min(F.struct(F.col("least").isNull(), "least", "__node", "copies"))
+    totals = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), keeper.alias("keeper"))
+    totals = stored.save(
+        totals.select("label", "class_id", "class_size", F.col("keeper.__node").alias("__keeper"), F.col("keeper.copies").alias("__copies"))
+    )
     by_node = stored.save(named.select("__node", "label").join(totals, "label").drop("label"))
-    return (
+    found = (
         marked.select(*names, "__node")
         .join(by_node, "__node")
-        .withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")))
-        .select(*names, *ours)
+        .withColumn("kept", F.col(key).eqNullSafe(F.col("class_id")) & (F.col("__node") == F.col("__keeper")))
     )
+    if not totals.where("__copies > 1").limit(1).count():
+        return found.select(*names, *ours)
+    # Rows that repeat the kept id and text: first one of each part stays, then one of all parts.
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+    repeats = marked.select(*names, "__node", part.alias("__part")).join(by_node.where("__copies > 1 and __node = __keeper"), "__node")
+    repeats = repeats.where(F.col(key).eqNullSafe(F.col("class_id")))
+    number = F.row_number().over(Window.partitionBy("__node", "__part").orderBy("class_size"))
+    numbered = repeats.withColumn("__first", number == 1)
+    firsts = F.row_number().over(Window.partitionBy("__node", F.when(~F.col("__first"), F.col("__part"))).orderBy("__part"))
+    one = numbered.withColumn("kept", F.when(F.col("__first"), firsts == 1).otherwise(False))
+    return found.where("not kept or __copies = 1").select(*names, *ours).unionByName(one.select(*names, *ours))

@@ -41,3 +41,13 @@ def test_messy_rows_pass_through(spark, messy, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored.save(stage(spark, docs, folder))
     assert "slot" in docs.columns
+
+
+def test_one_row_of_each_class_of_near_copies(spark, make):
+    body = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, body), (5, body), (5, body), (5, body + " more"), (7, body), (None, "no id at all here"), (None, "no id at all here")]
+    rows += [(None, None), (None, ""), (8, "alone in its class"), (None, "a"), (9, "a"), (9, "a")]
+    found = corpus_pipeline.drop_near_copies(spark, make([(i, t, "a") for i, t in rows]).repartition(3), SMALL).collect()
+    ids = Counter(r["doc_id"] for r in found)
+    assert ids == {5: 1, None: 2, 8: 1, 9: 1}
+    assert {(r["text"] or "")[:5] for r in found if r["doc_id"] is None} == {"no id", ""}
