@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_dicts, customer, money, month, only, order
+from shop_rows import as_dicts, customer, money, month, only, order
 
 from mercato.plans import cohorts
 from mercato.plans.order_model import order_analytics

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_dicts, customer, item, money, only, order, product, review, translation
+from shop_rows import as_dicts, customer, item, money, only, order, product, review, translation
 
 from mercato.plans import delivery
 from mercato.plans.order_model import order_analytics

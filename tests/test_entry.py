@@ -40,3 +40,11 @@ def test_nothing_else_imports_the_corpus_operators():
     for path in [*ROOT.glob("mercato/**/*.py"), *ROOT.glob("contract/*.py"), ROOT / "bench.py"]:
         if "llm" not in path.parts:
             assert "mercato.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
+
+
+def test_the_whole_tree_can_be_collected():
+    """Helpers live outside conftest files, so tests of both folders can be collected in one run."""
+    found = subprocess.run(
+        [sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=ROOT, capture_output=True, text=True, timeout=300
+    )
+    assert found.returncode == 0, found.stdout[-2000:]

@@ -1,7 +1,7 @@
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
-from conftest import money, only
+from shop_rows import money, only
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,4 +1,4 @@
-from conftest import as_dicts, customer, item, money, month, only, order, review, ts
+from shop_rows import as_dicts, customer, item, money, month, only, order, review, ts
 
 from mercato.plans import cohorts, executive, revenue, rfm
 from mercato.plans.order_model import delivered, order_analytics, sold

@@ -5,7 +5,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts, customer, order
+from shop_rows import as_dicts, customer, order
 from pyspark.sql import functions as F
 
 from mercato.plans import categories, cohorts, delivery, executive, quality, reconciliation, revenue, rfm

@@ -1,4 +1,4 @@
-from conftest import as_dicts, customer, item, money, only, order, product, review, ts
+from shop_rows import as_dicts, customer, item, money, only, order, product, review, ts
 
 from mercato.operators import checks
 from mercato.plans import quality

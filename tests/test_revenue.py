@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_dicts, item, money, month, only, order, product, translation
+from shop_rows import as_dicts, item, money, month, only, order, product, translation
 
 from mercato.plans import categories, revenue
 from mercato.plans.order_model import delivered, order_analytics, sold

@@ -1,7 +1,7 @@
 import datetime as dt
 from itertools import product as pairs
 
-from conftest import as_dicts, customer, item, money, only, order
+from shop_rows import as_dicts, customer, item, money, only, order
 
 from mercato.plans import rfm
 from mercato.plans.order_model import order_analytics

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import as_dicts, customer, item, money, month, only, order, product, review, translation, ts
+from shop_rows import as_dicts, customer, item, money, month, only, order, product, review, translation, ts
 
 from mercato.plans import executive, marts, rfm
 from mercato.plans.order_model import order_analytics

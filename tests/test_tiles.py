@@ -2,7 +2,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import as_dicts
+from shop_rows import as_dicts
 from pyspark.sql import functions as F
 
 from mercato.operators import tiles
