@@ -15,6 +15,7 @@ from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
 from mercato.llm.near_dedup import near_dedup
 from mercato.llm.sharding import shard
+from mercato.llm.simhash import simhash_components
 from mercato.llm.token_counts import histogram, lengths, suffix_sums
 
 
@@ -100,6 +101,10 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bloom_exact_dedup,
         op9_license_scan,
         op10_toxicity_lexicon,
+        op11_simhash_dedup,
     )
 }
