@@ -17,6 +17,7 @@ from mercato.llm.near_dedup import near_dedup
 from mercato.llm.sharding import shard
 from mercato.llm.simhash import simhash_components
 from mercato.llm.token_counts import histogram, lengths, suffix_sums
+from mercato.llm.whitening import whiten
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,10 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_toxicity_lexicon,
         op11_simhash_dedup,
+        op13_whitening,
     )
 }
