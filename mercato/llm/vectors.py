@@ -58,7 +58,7 @@ def column_sums(rows: DataFrame, vector: str, dims: int, scale: int, most: int)
             {"pos": list(range(-1, dims)), "total": [str(v) for v in (n, *sums)], "squares": [0.0, *squares]}
         )
 
-    parts = rows.select(vector).mapInArrow(run, "pos int, total string, squares double")
+    parts = rows.select(vector).mapInArrow(run, "pos long, total string, squares double")
     totals = parts.groupBy("pos").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("squares").alias("squares"))
     by = {r["pos"]: (int(r["total"]), r["squares"]) for r in totals.collect()}
     if not by:

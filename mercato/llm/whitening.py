@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from mercato.llm.common import Stored
 from mercato.llm.vectors import as_matrix, column_sums, complete, dimensions, scaled
 
-#: Entries become floor(SCALE * c) + SHIFT; scaled ones are kept within MOST in size, so that they are exact in a double.
-SCALE, SHIFT, MOST = 64, 1_000_000, 1 << 52
+#: Entries become floor(SCALE * c), kept within MOST in size so that they are exact in a double. A common shift of all entries changes no result.
+SCALE, MOST = 64, 1 << 52
 #: Rows of a block.
 ROWS = 1024
 #: The most components that a row is projected on.
@@ -48,16 +48,17 @@ def indexed(rows: DataFrame, key: str, vector: str, dims: int, n: int, sums: lis
     A row's index is its place within its task plus the number of rows in the tasks before, so nothing is shuffled; of each task one count is
     broadcast. Centred entries are (n * x - S) / n from whole numbers and so rounded once.
     """
+    most = max([abs(s) for s in sums], default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = scaled(as_matrix(batch.column(1), dims), SCALE, MOST) + SHIFT
-            most = max([abs(int(x.min(initial=0))), abs(int(x.max(initial=0)))]) * n + max([abs(s) for s in sums], default=0)
-            # Long arithmetic where nothing can overflow, whole numbers of any size elsewhere.
-            whole = np.int64 if most * most * max(dims, 1) < 1 << 63 else object
-            over_n = x.astype(whole) * whole(n) - np.array(sums, whole) if dims else x.astype(whole)
-            deviation = (over_n * over_n).sum(axis=1).tolist() if dims else [0] * len(x)
-            deviation = [int(d) if d < 1 << 63 else None for d in deviation]
+            # Longs where nothing can overflow, whole numbers of any size elsewhere.
+            x = scaled(as_matrix(batch.column(1), dims), SCALE, MOST)
+            fits = (int(np.abs(x).max(initial=0)) + 1) * n + most < 1 << 63
+            over_n = x * n - np.array(sums, np.int64) if fits else x.astype(object) * n - np.array(sums, object)
+            top = int(np.abs(over_n).max(initial=0))
+            squares = over_n * over_n if top * top * max(dims, 1) < 1 << 63 else over_n.astype(object) ** 2
+            deviation = [int(d) if d < 1 << 63 else None for d in squares.sum(axis=1).tolist()]
             centred = (over_n / n).astype(float).reshape(-1)
             sizes = np.arange(len(x) + 1) * dims
             yield pa.RecordBatch.from_arrays(
@@ -126,9 +127,10 @@ def projected(spark: SparkSession, blocks: BlockMatrix, matrix: np.ndarray) -> D
     side, (dims, kept) = panels(blocks), matrix.shape
     cells = callMLlibFunc("getMatrixBlocks", blocks._java_matrix_wrapper._java_model).toDF("at", "block")
     i = F.col("at._1")
-    moved = cells.select(F.struct(F.floor(i / side).cast("int"), (i % side).cast("int")).alias("at"), "block")
+    moved = cells.select(F.struct(F.floor(i / side), (i % side).cast("long")).alias("at"), "block")
     high = -(-blocks.numRowBlocks // side)
-    wide = BlockMatrix(moved, ROWS, dims, high * ROWS, side * dims)
+    # Blocks that a DataFrame holds stay in the JVM.
+    wide = BlockMatrix(callMLlibFunc("createBlockMatrix", moved, ROWS, dims, high * ROWS, side * dims), ROWS, dims)
     weights = DenseMatrix(dims, kept, matrix.ravel(order="F").tolist())
     diagonal = spark.sparkContext.parallelize([((p, p), weights) for p in range(side)], min(side, 64))
     product = wide.multiply(BlockMatrix(diagonal, dims, kept, side * dims, side * kept))
@@ -167,12 +169,11 @@ def whiten(rows: DataFrame, vector: str = "embedding", key: str = "vec_id") -> D
     spark, stored = rows.sparkSession, Stored(rows.sparkSession)
     fit = rows.where(complete(vector)).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     dims = dimensions(fit, "vector")
-    n, shifted, _ = column_sums(fit, "vector", dims, SCALE, MOST)
+    n, sums, _ = column_sums(fit, "vector", dims, SCALE, MOST)
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if not n or not dims:
         return spark.createDataFrame([], schema)
-    sums = [s + n * SHIFT for s in shifted]
     centred = stored.save(indexed(fit, "id", "vector", dims, n, sums, stored))
     blocks = row_blocks(centred, "centred", n, dims)
     model = components(scatter(blocks) / n)
