@@ -11,6 +11,7 @@ from mercato.llm import language_model, quality, toxicity
 from mercato.llm.common import remainder_of_id, table
 from mercato.llm.decontaminate import decontaminate
 from mercato.llm.exact_dedup import exact_dedup
+from mercato.llm.hard_negatives import mine
 from mercato.llm.licenses import scan
 from mercato.llm.mixing import mix
 from mercato.llm.near_dedup import near_dedup
@@ -106,6 +107,11 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_toxicity_lexicon,
         op11_simhash_dedup,
+        op12_hard_negatives,
         op13_whitening,
     )
 }
