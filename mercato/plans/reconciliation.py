@@ -12,6 +12,7 @@ from mercato.operators.checks import union_all
 from mercato.plans import categories, executive, revenue, rfm
 from mercato.plans.order_model import DELIVERED, NOT_SOLD, order_analytics
 from mercato.sources.tables import Tables
+from mercato.storage import stored
 
 #: What the reconciled layers read of the order frame.
 ORDER_COLUMNS = (
@@ -112,12 +113,10 @@ def product_sales(order_items: DataFrame, orders: DataFrame) -> DataFrame:
 def reconcile_tables(tables: Tables, facts: DataFrame | None = None, snapshot: dt.date | None = None) -> DataFrame:
     """All equalities straight from the tables, or from a stored order frame given as ``facts``.
 
-    Without ``facts`` the order frame is built once, with every status, and kept in Spark's cache for the layers that read it; lost
-    parts of it are recomputed. Nothing runs before the result is asked for. The caller frees the cache with
-    ``spark.catalog.clearCache()``, or passes the stored frame of ``write_marts`` and needs none.
+    Without ``facts`` the order frame is built once, with every status, and stored for the layers that read it; nothing is left in Spark's cache.
     """
     if facts is None:
-        facts = order_analytics(tables, ("person", "items", "reviews")).select(*ORDER_COLUMNS).persist()
+        facts = stored(order_analytics(tables, ("person", "items", "reviews")).select(*ORDER_COLUMNS))
     sales = product_sales(tables.order_items, tables.orders)
     labels = categories.labelled_products(
         tables.products, tables.product_category_name_translation, categories.UNCATEGORIZED

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mercato.functions.exact import MONEY, percent, rounded_ratio
 from mercato.operators.tiles import TileOrder, with_tiles
 from mercato.plans.order_model import delivered
+from mercato.storage import stored
 
 # Labels and score limits of the segments.
 RECENT_HIGH = "Recent High Value"
@@ -112,14 +113,16 @@ def rfm_metrics_listing(facts: DataFrame, snapshot: dt.date | None = None) -> Da
     return rfm_metrics(facts, snapshot).orderBy(F.desc_nulls_first("monetary"), "customer_unique_id")
 
 
-def rfm_scores(facts: DataFrame, snapshot: dt.date | None = None, tiles: int = TILES) -> DataFrame:
+def rfm_scores(
+    facts: DataFrame, snapshot: dt.date | None = None, tiles: int = TILES, totals: DataFrame | None = None
+) -> DataFrame:
     """Quintile scores 1..5, 5 being the most recent and the highest spending.
 
     Customers that tie are told apart by id, which makes the result repeatable. A customer without any
-    item sorts last by value, so it scores 5. The totals, one narrow row per customer, are marked for Spark's cache, as the search
-    for the tiles reads them several times; parts lost with an executor are recomputed, and ``spark.catalog.clearCache()`` frees them.
+    item sorts last by value, so it scores 5. The search for the tiles runs at once and reads the totals, one narrow row per customer, several
+    times: they are stored first, unless ``totals`` already has the stored or cached rows of :func:`customer_totals`. Nothing is left in Spark's cache.
     """
-    totals = customer_totals(facts).persist()
+    totals = stored(customer_totals(facts)) if totals is None else totals
     tiled = with_tiles(
         totals,
         "customer_unique_id",

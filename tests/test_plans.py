@@ -84,13 +84,7 @@ def test_no_cross_join_and_no_python(spark, stored, large_tables):
         delivery.delivery_category(facts, stored.order_items, *dims),
         quality.orders_without_customer(stored.orders, stored.customers),
     ]
-    # The starting rows of tiles are at most four, and the lookup of one-row totals is a subquery.
-    bounded = [rfm.rfm_scores(facts), reconciliation.reconcile_tables(stored)]
-    for df in bounded:
-        plan = physical(df)
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-        assert "Python" not in plan and "Pandas" not in plan
-    spark.catalog.clearCache()
+    frames += [rfm.rfm_scores(facts), reconciliation.reconcile_tables(stored)]
     for df in frames:
         plan = physical(df)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -230,24 +224,36 @@ def test_nothing_runs_while_a_plan_is_built(spark, stored):
     facts = order_analytics(stored)
     spark.sparkContext.setJobGroup("build", "building plans")
     try:
-        rfm.rfm_scores(facts)
-        reconciliation.reconcile_tables(stored)
+        for build in (rfm.rfm_metrics, rfm.customer_rfm, cohorts.cohort_retention, executive.executive_kpis):
+            build(facts)
         assert not tracker.getJobIdsForGroup("build")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        spark.catalog.clearCache()
 
 
-def test_reconciliation_reads_the_order_frame_from_the_cache(spark, stored, large_tables):
-    df = reconciliation.reconcile_tables(stored)
-    df.collect()
-    plan = physical(df)
-    spark.catalog.clearCache()
-    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
-    assert "InMemoryTableScan" in final
-    # Outside the cached frame, items are read by one pass; where it appears again its exchange is reused.
-    passes = [line for line in final.splitlines() if "FileScan" in line and "product_id" in line and "price" in line]
-    assert len(passes) <= 2
+def test_no_frame_stays_in_the_cache(spark, stored):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    facts = order_analytics(stored)
+    rfm.rfm_segment_summary(rfm.rfm_segments(rfm.rfm_scores(facts))).collect()
+    reconciliation.reconcile_tables(stored).collect()
+    rfm.rfm_top_customers(facts).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_given_totals_are_not_stored_again(spark, stored, monkeypatch):
+    facts = order_analytics(stored)
+    totals = rfm.stored(rfm.customer_totals(facts))
+    expected = sorted(map(str, rfm.rfm_scores(facts).collect()))
+    monkeypatch.setattr(rfm, "stored", None)
+    assert sorted(map(str, rfm.rfm_scores(facts, totals=totals).collect())) == expected
+
+
+def test_reconciliation_builds_the_order_frame_once(spark, stored, large_tables):
+    plan = physical(reconciliation.reconcile_tables(stored))
+    # The order frame is read from where it was stored; beside it, items are read for the sales by product alone.
+    passes = [line for line in plan.splitlines() if "FileScan" in line and "freight_value" in line]
+    assert not passes
 
 
 def test_category_sets_and_cohort_months_take_one_exchange_each(stored, large_tables):

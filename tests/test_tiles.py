@@ -48,19 +48,62 @@ def test_a_third_of_the_rows_share_one_value(spark):
     assert [r["down"] for r in down] == brute_ntile(down, 5)
 
 
-def test_plan_neither_sorts_nor_gathers_the_table(spark):
+def test_tiles_are_a_projection(spark):
+    """Once the starts are known, a tile is a comparison with constants."""
     df = spark.range(500).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("v"))
-    tracker = spark.sparkContext.statusTracker()
-    before = tracker.getJobIdsForGroup()
-    tiled = tiles.with_tiles(df, "key", {"t": TileOrder("v")}, 5)
-    assert tracker.getJobIdsForGroup() == before
-    plan = tiled._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    # One task only ever sees the starting rows and the totals of a column.
-    lines = plan.splitlines()
-    for number, line in enumerate(lines):
-        if "SinglePartition" in line:
-            assert "Aggregate" in lines[number + 1]
+    plan = tiles.with_tiles(df, "key", {"t": TileOrder("v")}, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.fixture
+def read_rows(monkeypatch):
+    """Rows of each interval that is read instead of counted."""
+    counts = []
+    read = tiles._read
+
+    def counted(*args):
+        found = read(*args)
+        counts.extend(len(rows) for rows in found)
+        return found
+
+    monkeypatch.setattr(tiles, "_read", counted)
+    return counts
+
+
+def test_no_step_sees_a_group_of_ties(spark, read_rows):
+    """Two thirds of 60,000 rows tie, and one id that differs early has nothing in common with the others."""
+    df = spark.range(60_000).select(
+        F.format_string("customer_%09d", "id").alias("key"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 101).alias("v")
+    )
+    df = df.union(spark.createDataFrame([("x1", 7)], "key string, v long"))
+    got = as_dicts(tiles.with_tiles(df, "key", {"t": TileOrder("v")}, 5))
+    got.sort(key=lambda r: (r["v"], r["key"]))
+    assert [r["t"] for r in got] == brute_ntile(got, 5)
+    assert read_rows and max(read_rows) <= tiles.LAST
+
+
+@pytest.mark.parametrize("last", [1, 3, 50])
+def test_small_bounds_refine_values_and_keys_to_the_end(spark, monkeypatch, read_rows, last):
+    monkeypatch.setattr(tiles, "LAST", last)
+    monkeypatch.setattr(tiles, "_PARTS", 4)
+    rng = random.Random(last)
+    keys = ["", "a", "ab", "abc", "b", "ä", "äß", "Customer#1", "Customer#10", "Customer#2", "🙂", "é", "e"]
+    keys += [f"{'z' * rng.randrange(30)}{i}" for i in range(150)]
+    rows = [(k, rng.choice([None, Decimal("-3.50"), Decimal("0.00"), Decimal("0.01"), Decimal("7.00"), Decimal(rng.randrange(10**6)) / 100])) for k in keys]
+    df = spark.createDataFrame(rows, "key string, v decimal(38,2)").repartition(5)
+    orders = {"up": TileOrder("v"), "down": TileOrder("v", descending=True, nulls_first=True)}
+    got = as_dicts(tiles.with_tiles(df, "key", orders, 4))
+    up = sorted(got, key=lambda r: (r["v"] is None, r["v"] or 0, r["key"]))
+    assert [r["up"] for r in up] == brute_ntile(up, 4)
+    down = sorted(got, key=lambda r: (r["v"] is not None, -(r["v"] or 0), r["key"]))
+    assert [r["down"] for r in down] == brute_ntile(down, 4)
+    assert max(read_rows) <= last
+
+
+def test_one_key_for_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "LAST", 10)
+    df = spark.range(100).select(F.lit("same").alias("key"), F.lit(1).alias("v"))
+    assert {r["t"] for r in as_dicts(tiles.with_tiles(df, "key", {"t": TileOrder("v")}, 5))} == {5}
 
 
 @pytest.mark.parametrize("parts", [1, 3, 11])
