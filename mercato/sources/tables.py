@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.schemas import TABLE_SPECS
+from mercato.sources.records import read_multiline_csv
 
 
 class Tables:
@@ -64,21 +65,16 @@ FREE_TEXT_TABLE = "order_reviews"
 def read_csv(spark: SparkSession, name: str, path: str, multiline: bool | None = None) -> DataFrame:
     """One table from CSV with its declared schema; a value of the wrong type stops the load.
 
-    ``path`` may be a folder. A quoted line break keeps Spark from splitting a file, so review files, by default
-    read with ``multiline``, are best delivered as many files; pass False where comments are single lines.
+    ``path`` may be a folder. With ``multiline``, by default for review files, quoted line breaks are resolved across the byte ranges of a file, so
+    that many tasks read it (:func:`mercato.sources.records.read_multiline_csv`); pass False where comments are single lines.
     """
     if multiline is None:
         multiline = name == FREE_TEXT_TABLE
-    return (
-        spark.read.schema(TABLE_SPECS[name].schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    schema = TABLE_SPECS[name].schema
+    options = {"mode": "FAILFAST", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    if multiline:
+        return read_multiline_csv(spark, path, schema, options)
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, **options).csv(path)
 
 
 def tables_from_csv(spark: SparkSession, paths: dict[str, str]) -> Tables:

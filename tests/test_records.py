@@ -1,0 +1,102 @@
+"""Quoted line breaks, resolved across the ranges of a file."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from mercato.schemas import TABLE_SPECS
+from mercato.sources import records
+from mercato.sources.tables import read_csv
+
+NAMES = [part.split()[0] for part in TABLE_SPECS["order_reviews"].ddl.split(",")]
+OPTIONS = {"mode": "FAILFAST", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+PIECES = ["good", "bad, but cheap", 'a ""quoted"" word', "\n", "\n\n", "\r\n", "ç ã 🙂", " ", ",", '""', "x" * 40]
+
+
+def one_task(spark, path):
+    """Spark's own reader: a file is one task."""
+    return spark.read.schema(TABLE_SPECS["order_reviews"].schema).options(header=True, enforceSchema=False, multiLine=True, **OPTIONS).csv(str(path))
+
+
+def comment(draw):
+    kind = draw.randrange(6)
+    if kind == 0:
+        return ""
+    if kind == 1:
+        return "plain words"
+    return '"' + "".join(draw.choice(PIECES) for _ in range(draw.randrange(1, 9))) + '"'
+
+
+def write(path, count, seed, newline="\n", end=True):
+    draw = random.Random(seed)
+    rows = [",".join(NAMES)]
+    for i in range(count):
+        rows.append(f"r{i},o{i % 7},{draw.choice([1, 2, 5, ''])},{comment(draw)},{comment(draw)},2018-01-18 00:00:00,2018-01-18 21:46:{i % 60:02d}")
+    path.write_bytes((newline.join(rows) + newline * end).encode())
+    return path
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges of some 700 bytes, so that records reach over several of them."""
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def listed(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize(("newline", "end"), [("\n", True), ("\n", False), ("\r\n", True)])
+def test_equals_the_reader_of_one_task(spark, tmp_path, small_ranges, newline, end):
+    path = write(tmp_path / "reviews.csv", 400, 1, newline, end)
+    expected = listed(one_task(spark, path))
+    found = read_csv(spark, "order_reviews", str(path))
+    assert found.schema == one_task(spark, path).schema
+    assert listed(found) == expected and len(expected) == 400
+    ranges = records._lines(spark, str(path)).select("start").distinct().count()
+    assert ranges > 20
+
+
+def test_a_record_over_many_ranges_and_several_files(spark, tmp_path, small_ranges):
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    write(folder / "a.csv", 50, 2)
+    write(folder / "b.csv", 50, 3)
+    long = '"' + "line of a very long comment\n" * 300 + '"'
+    (folder / "c.csv").write_text(",".join(NAMES) + f"\nr,o,5,,{long},2018-01-18 00:00:00,2018-01-18 21:46:59\n")
+    (folder / "d.csv").write_text(",".join(NAMES) + "\n")
+    found = read_csv(spark, "order_reviews", str(folder))
+    assert listed(found) == listed(one_task(spark, folder)) and found.count() == 101
+    assert found.agg(F.max(F.length("review_comment_message"))).first()[0] == len(long) - 2
+
+
+def test_single_line_records_are_not_grouped(spark, tmp_path):
+    plan = read_csv(spark, "order_reviews", str(write(tmp_path / "r.csv", 5, 4)))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(
+    ("text", "match"),
+    [
+        ("r,o,5,,\"open,2018-01-18 00:00:00,2018-01-18 21:46:59\n", "not closed"),
+        ("r,o,five,,,2018-01-18 00:00:00,2018-01-18 21:46:59\n", "(?i)malformed"),
+    ],
+)
+def test_malformed_files_stop_the_load(spark, tmp_path, text, match):
+    path = tmp_path / "bad.csv"
+    path.write_text(",".join(NAMES) + "\n" + text)
+    with pytest.raises(Exception, match=match):
+        read_csv(spark, "order_reviews", str(path)).collect()
+
+
+def test_another_header_stops_the_load(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("id,order_id\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, "order_reviews", str(path)).collect()
