@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.operators.repeats import key_repeats
 from mercato.schemas import TABLE_SPECS
 from mercato.sources.tables import Tables
 
@@ -45,57 +45,59 @@ def check_not_null(tables: Tables) -> DataFrame:
 def check_primary_keys(tables: Tables) -> DataFrame:
     """Keys that occur more than once, the rows beyond the first of each, and the rows whose key has a NULL part.
 
-    A NULL part makes a key invalid by itself, so such rows are not counted as repeats.
+    A NULL part makes a key invalid by itself, so such rows are not counted as repeats. A first pass over hashes of the keys runs at once (see
+    :func:`mercato.operators.repeats.key_repeats`).
     """
-    found = []
-    for name, df in tables.named().items():
-        key = TABLE_SPECS[name].primary_key
-        if key:
-            whole = reduce(and_, [F.col(c).isNotNull() for c in key])
-            keys = df.groupBy(*key).agg(F.count("*").alias("n"))
-            repeated = whole & (F.col("n") > 1)
-            found.append(
-                keys.agg(
-                    F.count_if(repeated).alias("duplicate_groups"),
-                    F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("extra_rows"),
-                    F.coalesce(F.sum(F.when(~whole, F.col("n"))), F.lit(0)).alias("null_key_rows"),
-                ).select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(", ".join(key)).alias("key_columns"),
-                    "duplicate_groups",
-                    "extra_rows",
-                    "null_key_rows",
-                )
-            )
-    return union_all(found)
+    keyed = {name: (df, TABLE_SPECS[name].primary_key) for name, df in tables.named().items() if TABLE_SPECS[name].primary_key}
+    columns = F.create_map(*[F.lit(v) for name, (_, key) in keyed.items() for v in (name, ", ".join(key))])
+    return key_repeats(keyed).select(
+        F.col("name").alias("table_name"),
+        columns[F.col("name")].alias("key_columns"),
+        "duplicate_groups",
+        "extra_rows",
+        "null_key_rows",
+    )
 
 
 def check_foreign_keys(tables: Tables) -> DataFrame:
-    """Child rows whose parent is missing.
+    """Child rows whose parent is missing, by reference.
 
-    The child is counted per key before the join: a key that holds a large part of the table enters it as one row.
+    Each child table is scanned once, every row giving a key per reference, and each parent table once. Keys are counted per (parent, key) before they
+    meet their parents, with one count per reference: a key that holds a large part of a table enters the join as one row, and one join, on the
+    partitioning of the counts, serves all references.
     """
     frames = tables.named()
-    found = []
+    references = [(name, fk) for name in frames for fk in TABLE_SPECS[name].foreign_keys]
+    place = {(name, fk.column): f"n{i}" for i, (name, fk) in enumerate(references)}
+    asked = []
     for name, df in frames.items():
-        for fk in TABLE_SPECS[name].foreign_keys:
-            per_key = (
-                df.where(F.col(fk.column).isNotNull())
-                .groupBy(F.col(fk.column).alias("key"))
-                .agg(F.count("*").alias("n"))
-            )
-            parents = frames[fk.parent].select(F.col(fk.parent_column).alias("key"))
-            found.append(
-                per_key.join(parents, "key", "left_anti")
-                .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"))
-                .select(
-                    F.lit(name).alias("child_table"),
-                    F.lit(fk.column).alias("child_column"),
-                    F.lit(fk.parent).alias("parent_table"),
-                    "orphan_rows",
-                )
-            )
-    return union_all(found)
+        keys = TABLE_SPECS[name].foreign_keys
+        if keys:
+            cells = [
+                F.struct(F.lit(fk.parent).alias("parent"), F.col(fk.column).alias("key"), F.lit(place[name, fk.column]).alias("place"))
+                for fk in keys
+            ]
+            asked.append(df.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("key is not null"))
+    counts = [F.count_if(F.col("place") == n).alias(n) for n in place.values()]
+    counted = union_all(asked).groupBy("parent", "key").agg(*counts)
+    parents = union_all([
+        frames[parent].select(F.lit(parent).alias("parent"), F.col(column).alias("key"), F.lit(True).alias("known"))
+        for parent, column in dict.fromkeys((fk.parent, fk.parent_column) for _, fk in references)
+    ])
+    # An anti-join would be pushed below the counts and into each child's scan, and so read every parent once per child. A repeated parent key
+    # multiplies only keys that are not counted.
+    missing = counted.join(parents, ["parent", "key"], "left").where("known is null")
+    orphans = missing.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in place.values()])
+    rows = [
+        F.struct(
+            F.lit(name).alias("child_table"),
+            F.lit(fk.column).alias("child_column"),
+            F.lit(fk.parent).alias("parent_table"),
+            F.col(place[name, fk.column]).alias("orphan_rows"),
+        )
+        for name, fk in references
+    ]
+    return orphans.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def check_review_score_range(reviews: DataFrame, low: int = 1, high: int = 5) -> DataFrame:

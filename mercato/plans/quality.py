@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.exact import percent, rounded_ratio
 from mercato.operators.checks import union_all
+from mercato.operators.repeats import key_repeats
 from mercato.sources.tables import Tables
 
 
@@ -128,10 +129,9 @@ def item_structure(items: DataFrame) -> DataFrame:
 
 
 def item_key_uniqueness(items: DataFrame) -> DataFrame:
-    """Distinct keys as one row value, so that a key with a NULL part still counts."""
-    return items.agg(
-        F.count("*").alias("total_rows"),
-        F.count_distinct(F.struct("order_id", "order_item_id")).alias("unique_order_items"),
+    """Distinct keys as one row value, so that a key with a NULL part still counts; only keys with a repeated hash are compared whole."""
+    return key_repeats({"items": (items, ("order_id", "order_item_id"))}).select(
+        F.col("rows").alias("total_rows"), (F.col("rows") - F.col("extra_rows_any")).alias("unique_order_items")
     )
 
 

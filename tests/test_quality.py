@@ -1,7 +1,10 @@
+import pytest
 from shop_rows import as_dicts, customer, item, money, only, order, product, review, ts
 
-from mercato.operators import checks
+from mercato.operators import checks, repeats
 from mercato.plans import quality
+from mercato.sources.tables import tables_from_parquet, write_tables
+from mercato.storage import stored
 
 
 def test_declared_constraints(make_tables):
@@ -118,3 +121,41 @@ def test_null_keys_are_found(make_tables):
     keys = {r["table_name"]: (r["duplicate_groups"], r["extra_rows"], r["null_key_rows"]) for r in as_dicts(checks.check_primary_keys(t))}
     assert keys["orders"] == (1, 1, 2) and keys["customers"] == (0, 0, 1) and keys["products"] == (0, 0, 1)
     assert keys["order_items"] == (0, 0, 1) and keys["sellers"] == (0, 0, 0)
+
+
+@pytest.mark.parametrize("bits", [64, 3, 1])
+def test_repeated_keys_with_forced_collisions(spark, bits):
+    """With few hash bits nearly every key is suspected; the counts are those of plain grouping all the same."""
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 1), ("b", 1), (None, 1), (None, 1), ("c", None), ("1", None), (None, None)]
+    rows += [(f"k{i}", i % 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "x string, y int")
+    unique = spark.createDataFrame([(f"u{i}",) for i in range(40)], "id string")
+    empty = unique.where("id is null")
+    found = {
+        r["name"]: tuple(r)[1:] for r in repeats.key_repeats({"t": (df, ("x", "y")), "u": (unique, ["id"]), "e": (empty, ["id"])}, bits).collect()
+    }
+    assert found == {"t": (61, 5, 2, 3, 4), "u": (40, 0, 0, 0, 0), "e": (0, 0, 0, 0, 0)}
+
+
+def test_clean_keys_are_not_shuffled_whole(make_tables, spark, monkeypatch):
+    t = make_tables(orders=[order(f"o{i}", "c") for i in range(30)], order_items=[item(f"o{i % 10}", "1.00", number=i) for i in range(30)])
+    plans = []
+    monkeypatch.setattr(repeats, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    result = checks.check_primary_keys(t)
+    assert all(r["duplicate_groups"] == 0 for r in as_dicts(result))
+    # What the only job shuffles is table name and hash; the result of clean tables reads no table again.
+    exchanged = [line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanged and all("order_id" not in line and "hash#" in line for line in exchanged)
+    final = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in final and "order_id#" not in final
+
+
+def test_each_child_table_is_scanned_once_for_its_references(spark, tmp_path, make_tables):
+    write_tables(make_tables(), str(tmp_path / "t"))
+    plan = checks.check_foreign_keys(tables_from_parquet(spark, str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    # Four children; customers, orders, products and sellers as parents.
+    assert len(scans) == 8
+    assert sum("seller_id" in s and "product_id" in s and "order_id" in s for s in scans) == 1
+    # One join, on the partitioning of the counts: keys shuffle once on either side.
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") + plan.count("ShuffledHashJoin") == 1
