@@ -170,7 +170,6 @@ def _category_sums(orders: str, missing: str) -> str:
 def _revenue() -> dict[str, str]:
     sold_categories = _category_sums("sales", "Unknown")
     done_categories = _category_sums("done", "Uncategorized")
-    share = ratio("revenue * 100", "SUM(revenue) OVER ()", 10)
     growth = ratio("(revenue - previous_month_revenue) * 100", "previous_month_revenue")
     fixed_bounds = _calendar("TIMESTAMP '1994-11-01'", "TIMESTAMP '2001-10-01'")
     own_bounds = _calendar("(SELECT MIN(month) FROM monthly)", "(SELECT MAX(month) FROM monthly)")
@@ -196,8 +195,8 @@ def _revenue() -> dict[str, str]:
         "revenue_check_view": f"SELECT {_money('SUM(product_revenue)')} AS order_view_revenue FROM sales",
         "revenue_check_raw": f"""SELECT {_money("SUM(price)")} AS raw_item_revenue FROM t_items i
             JOIN t_orders o ON o.order_id = i.order_id WHERE order_status NOT IN ('canceled', 'unavailable')""",
-        "category_share_check": f"""WITH {sold_categories} SELECT {_money("SUM(share)")} AS total_revenue_share_pct
-            FROM (SELECT {share} AS share FROM category_sums)""",
+        "category_share_check": f"""WITH {sold_categories} SELECT {_money(pct("SUM(revenue)", "SUM(revenue)"))} AS total_revenue_share_pct
+            FROM category_sums""",
         "sales_month_range": "SELECT MIN(purchase_month) AS first_month, MAX(purchase_month) AS last_month FROM facts",
         "product_category_performance": f"""WITH {done_categories} SELECT category AS product_category,
             revenue AS product_revenue, orders, items_sold AS items FROM category_sums""",

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mercato.storage import stored
+from mercato.storage import observed, stored
 
 # Repeated hashes that are sent to all executors, some 32 MB; more of them are joined.
 BROADCAST = 1 << 20
@@ -37,9 +37,10 @@ def key_repeats(keyed: Mapping[str, tuple[DataFrame, Sequence[str]]], bits: int
         for name, own in mine.items()
         for what, value in (("rows", F.col("n")), ("nulls", F.col("nulls")), ("suspects", (F.col("n") > 1).cast("long")))
     }
-    observed = groups.observe(seen, *[total.alias(f"`{name}`") for name, total in sums.items()])
-    suspects = stored(observed.where(F.col("n") > 1).select("name", "hash"))
-    found = {name.strip("`"): count for name, count in seen.get.items()}
+    watched = groups.observe(seen, *[total.alias(f"t{i}") for i, total in enumerate(sums.values())])
+    suspects = stored(watched.where(F.col("n") > 1).select("name", "hash"))
+    counts = observed(seen)
+    found = {name: counts[f"t{i}"] if counts else 0 for i, name in enumerate(sums)}
     return reduce(DataFrame.union, [
         _resolved(name, df, key, bits, suspects, found[f"{name}.rows"], found[f"{name}.nulls"], found[f"{name}.suspects"])
         for name, (df, key) in keyed.items()

@@ -39,14 +39,18 @@ def category_revenue(
     translation: DataFrame,
     missing: str = UNKNOWN,
 ) -> DataFrame:
-    """Revenue, distinct orders and item rows per category.
+    """Revenue, distinct orders and item rows per category."""
+    return revenue_of_items(_items_of(orders, order_items), products, translation, missing)
+
+
+def revenue_of_items(items: DataFrame, products: DataFrame, translation: DataFrame, missing: str = UNKNOWN) -> DataFrame:
+    """``category_revenue`` of the items of one population.
 
     The distinct count is planned per (category, order_id) first, so a category that holds a large
     part of the items is spread over the cluster.
     """
     return (
-        _items_of(orders, order_items)
-        .select("order_id", "product_id", "price")
+        items.select("order_id", "product_id", "price")
         .join(labelled_products(products, translation, missing), "product_id")
         .groupBy("category")
         .agg(
@@ -98,20 +102,22 @@ def category_top(totals: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def category_share_check(totals: DataFrame, places: int = 10) -> DataFrame:
-    """Sum of the shares, each to ``places`` digits, 100.00 when no revenue is lost."""
-    everything = F.sum("revenue").over(Window.partitionBy())
-    share = rounded_ratio(F.col("revenue") * 100, everything, places)
-    return totals.select(share.alias("share")).agg(
-        F.sum("share").cast(MONEY).alias("total_revenue_share_pct")
-    )
+def category_share_check(totals: DataFrame) -> DataFrame:
+    """Sum of the shares before any rounding, 100.00 when there is revenue: the revenues are summed and divided once."""
+    everything = totals.agg(F.sum("revenue").alias("revenue"))
+    return everything.select(percent("revenue", "revenue").cast(MONEY).alias("total_revenue_share_pct"))
 
 
 def product_category_performance(
     order_items: DataFrame, orders: DataFrame, products: DataFrame, translation: DataFrame
 ) -> DataFrame:
     """``category_revenue`` under the names of the published view; products without category are kept."""
-    return category_revenue(order_items, orders, products, translation, UNCATEGORIZED).select(
+    return performance_of_items(_items_of(orders, order_items), products, translation)
+
+
+def performance_of_items(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """``product_category_performance`` of the items of delivered orders."""
+    return revenue_of_items(items, products, translation, UNCATEGORIZED).select(
         F.col("category").alias("product_category"),
         F.col("revenue").alias("product_revenue"),
         "orders",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.exact import MONEY
@@ -12,7 +13,7 @@ from mercato.operators.checks import union_all
 from mercato.plans import categories, executive, revenue, rfm
 from mercato.plans.order_model import DELIVERED, NOT_SOLD, order_analytics
 from mercato.sources.tables import Tables
-from mercato.storage import stored
+from mercato.storage import observed, stored
 
 #: What the reconciled layers read of the order frame.
 ORDER_COLUMNS = (
@@ -28,6 +29,75 @@ ORDER_COLUMNS = (
 )
 
 
+# The marts whose totals are compared.
+ORDER_ANALYTICS = "vw_order_analytics"
+EXECUTIVE_MART, MONTHLY_MART, CUSTOMER_MART = "vw_executive_kpis", "vw_monthly_business_performance", "vw_customer_rfm"
+CATEGORY_MART, SEGMENTS = "vw_product_category_performance", "customer_segments"
+#: The item rows with the status of their orders, which are no mart.
+RAW_ITEMS = "items"
+
+
+def _sold() -> Column:
+    return F.coalesce(~F.col("order_status").isin(*NOT_SOLD), F.lit(False))
+
+
+#: What is summed of each mart while it is written: position and check of each total.
+WATCHED: dict[str, dict[tuple[str, ...], Callable[[], Column]]] = {
+    ORDER_ANALYTICS: {("left", "raw_item_revenue"): lambda: F.sum(F.when(_sold(), F.col("product_revenue")))},
+    RAW_ITEMS: {("right", "raw_item_revenue"): lambda: F.sum(F.when(_sold(), F.col("price")))},
+    EXECUTIVE_MART: {
+        ("left", "monthly_orders"): lambda: F.sum("delivered_orders"),
+        ("left", "monthly_product_revenue", "segment_product_revenue", "category_product_revenue"): lambda: F.sum("product_revenue"),
+        ("left", "monthly_total_order_value"): lambda: F.sum("total_order_value"),
+        ("left", "rfm_customers", "segment_customers"): lambda: F.sum("delivered_customers"),
+        ("left", "rfm_repeat_customers"): lambda: F.sum("repeat_customers"),
+    },
+    MONTHLY_MART: {
+        ("right", "monthly_orders"): lambda: F.sum("orders"),
+        ("right", "monthly_product_revenue"): lambda: F.sum("product_revenue"),
+        ("right", "monthly_total_order_value"): lambda: F.sum("total_order_value"),
+    },
+    CUSTOMER_MART: {
+        ("right", "rfm_customers"): lambda: F.count("*"),
+        ("right", "rfm_repeat_customers"): lambda: F.count_if(F.col("customer_type") == rfm.REPEAT),
+    },
+    SEGMENTS: {
+        # A sum over no segments is missing, as it is where the segments are summed up from their own rows.
+        ("right", "segment_customers"): lambda: F.sum(F.lit(1)),
+        ("right", "segment_product_revenue"): lambda: F.sum("monetary"),
+    },
+    CATEGORY_MART: {("right", "category_product_revenue"): lambda: F.sum("product_revenue")},
+}
+
+
+class Sides:
+    """Totals of the reconciled layers, observed while something else reads them."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, whose totals are known once an action on it has ended; unchanged if nothing of it is compared."""
+        totals = WATCHED.get(name)
+        if not totals:
+            return df
+        self.seen[name] = Observation()
+        return df.observe(self.seen[name], *[total().cast(MONEY).alias(f"t{i}") for i, total in enumerate(totals.values())])
+
+    def checks(self, spark: SparkSession) -> DataFrame | None:
+        """The equalities of :func:`reconcile`, from what was observed; None if a layer is empty, of which Spark observes nothing."""
+        sides: dict[str, dict] = {}
+        for name, totals in WATCHED.items():
+            found = observed(self.seen[name])
+            if found is None:
+                return None
+            for i, (position, *checks) in enumerate(totals):
+                for check in checks:
+                    sides.setdefault(check, {})[position] = found[f"t{i}"]
+        rows = [(check, v["left"], v["right"], v["left"] == v["right"]) for check, v in sorted(sides.items())]
+        return spark.createDataFrame(rows, f"`check` string, left_value {MONEY}, right_value {MONEY}, passed boolean").coalesce(1)
+
+
 def side(totals: DataFrame, position: str, **checks: str) -> DataFrame:
     """One side of some checks: ``check=column`` pairs read from a one-row frame."""
     cells = [

@@ -137,6 +137,11 @@ def test_repeated_keys_with_forced_collisions(spark, bits):
     assert found == {"t": (61, 5, 2, 3, 4), "u": (40, 0, 0, 0, 0), "e": (0, 0, 0, 0, 0)}
 
 
+def test_keys_of_empty_tables(make_tables):
+    found = as_dicts(checks.check_primary_keys(make_tables()))
+    assert len(found) == 7 and all(r["duplicate_groups"] == r["extra_rows"] == r["null_key_rows"] == 0 for r in found)
+
+
 def test_clean_keys_are_not_shuffled_whole(make_tables, spark, monkeypatch):
     t = make_tables(orders=[order(f"o{i}", "c") for i in range(30)], order_items=[item(f"o{i % 10}", "1.00", number=i) for i in range(30)])
     plans = []

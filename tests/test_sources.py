@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from shop_rows import as_dicts, customer, item, money, month, only, order, product, review, translation, ts
 
 from mercato.plans import executive, marts, rfm
@@ -149,3 +150,77 @@ def test_written_marts_equal_the_views(spark, make_tables, tmp_path):
     assert len(checks) == 9 and all(r.passed for r in checks)
     grid = spark.read.parquet(paths["vw_cohort_retention"]).where("month_number = 3").collect()
     assert [r.cohort_month for r in grid] == [month("2020-01")]
+
+
+def test_a_failing_run_leaves_the_old_marts(spark, make_tables, tmp_path, monkeypatch):
+    """Readers see one complete version; the next run needs no clean-up."""
+    root, t = str(tmp_path / "marts"), _shop(make_tables)
+    with pytest.raises(FileNotFoundError):
+        marts.open_marts(spark, root)
+    params = marts.Params(min_group=1)
+    marts.write_marts(spark, t, root, params)
+    first = marts.current_version(spark, root)
+    before = {name: sorted(map(str, as_dicts(df))) for name, df in marts.open_marts(spark, root).items()}
+    assert len(before) == 14
+
+    def fails(*_):
+        raise RuntimeError("half-way")
+
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setitem(marts.MART_VIEWS, "vw_delivery_state", fails)
+        marts.write_marts(spark, make_tables(orders=[order("o9", "c9", "2020-01-05")]), root, params)
+    assert marts.current_version(spark, root) == first
+    assert {name: sorted(map(str, as_dicts(df))) for name, df in marts.open_marts(spark, root).items()} == before
+
+    marts.write_marts(spark, make_tables(orders=[order("o9", "c9", "2020-01-05")]), root, params)
+    second = marts.current_version(spark, root)
+    assert second > first and marts.open_marts(spark, root)["vw_order_analytics"].count() == 1
+    assert marts.drop_versions(spark, root, keep=1)[0] == first
+    assert marts.open_marts(spark, root)["vw_executive_kpis"].first()["delivered_orders"] == 1
+
+
+@pytest.mark.parametrize("rows", ["shop", "none", "odd"])
+def test_observed_equalities_are_those_of_the_tables(spark, make_tables, tmp_path, rows):
+    t = _shop(make_tables) if rows == "shop" else make_tables()
+    if rows == "odd":
+        t = make_tables(
+            customers=[customer("c1", "U1"), customer("c2", None)],
+            orders=[order("o1", "c1"), order("o2", "c2", status="canceled"), order("o3", "c1", status=None), order("o4", "gone", status="shipped")],
+            order_items=[item("o1", "10.00", "1.00"), item("o2", "5.00"), item("o3", "2.50"), item("o4", "7.00"), item("lost", "9.00")],
+            products=[product("p", None)],
+        )
+    paths = marts.write_marts(spark, t, str(tmp_path / "marts"))
+    found = {r["check"]: (r["left_value"], r["right_value"], r["passed"]) for r in as_dicts(spark.read.parquet(paths[marts.RECONCILIATION]))}
+    expected = {r["check"]: (r["left_value"], r["right_value"], r["passed"]) for r in as_dicts(marts.reconcile_tables(t))}
+    assert found == expected and len(found) == 9
+
+
+def test_reconciliation_of_written_marts_scans_nothing_more(spark, make_tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(marts, "reconcile_tables", None)
+    paths = marts.write_marts(spark, _shop(make_tables), str(tmp_path / "marts"))
+    assert all(r["passed"] for r in as_dicts(spark.read.parquet(paths[marts.RECONCILIATION])))
+
+
+def test_a_failed_equality_is_computed_again_from_what_was_written(spark, make_tables, tmp_path, monkeypatch):
+    monkeypatch.setitem(marts.Sides.checks.__globals__["WATCHED"][marts.RAW_ITEMS], ("right", "raw_item_revenue"), lambda: F.sum(F.lit(1)))
+    paths = marts.write_marts(spark, _shop(make_tables), str(tmp_path / "marts"))
+    assert all(r["passed"] for r in as_dicts(spark.read.parquet(paths[marts.RECONCILIATION])))
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, make_tables, tmp_path):
+    t = _shop(make_tables)
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path / 'db'}'")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables_module.write_bucketed_tables(t, "bucketed", 4, str(tmp_path / "files"))
+        stored = tables_module.tables_from_catalog(spark, "bucketed")
+        plan = order_analytics(stored, ("items", "payments", "reviews"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+        # With the person, orders and customers meet by customer and the result goes back to its orders; details stay where they are.
+        plan = order_analytics(stored)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(customer_id") == 2 and plan.count("Exchange hashpartitioning(order_id") == 1
+        assert sorted(map(str, as_dicts(order_analytics(stored)))) == sorted(map(str, as_dicts(order_analytics(t))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP DATABASE bucketed CASCADE")
