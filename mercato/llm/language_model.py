@@ -25,6 +25,11 @@ from mercato.llm.common import Stored, whole
 
 #: Tokens after which a task starts a new block, and n-grams that one counting group holds on average; both bound the memory of a task.
 BLOCK_TOKENS, GROUP_KEYS = 1 << 20, 1 << 21
+#: Common words that have a short number in every block (two are the marks), of each block's SENT most frequent ones. They shorten what is
+#: sent, nothing else: any other word is named by its hash.
+NUMBERED, SENT = 1 << 16, 1 << 12
+#: Bits of such a number; n-grams whose numbers do not fit a key are named by hash.
+NUMBER_BITS = 16
 
 
 class Strengths(dict):
@@ -73,7 +78,7 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 def pack_ascending(keys: np.ndarray) -> bytes:
-    """Ascending hashes by their differences, whose high bytes are mostly zero."""
+    """Ascending keys by their differences, whose high bytes are mostly zero."""
     return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
@@ -162,10 +167,35 @@ def encode(docs: DataFrame, training: Column, stored: Stored, text: str = "text"
     return stored.save(rows.mapInArrow(run, schema))
 
 
+def common_words(blocks: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, at most NUMBERED less the marks, most frequent first.
+
+    Every block sends the counts of its SENT most frequent words, which are added up; what reaches the driver is bounded by NUMBERED.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, vocabulary in zip(batch.column("tokens"), batch.column("words"), strict=True):
+                known = np.frombuffer(vocabulary.as_py(), np.uint64)
+                counts = np.bincount(unpack(tokens.as_py()), minlength=len(known))
+                counts[:2] = 0
+                top = np.argsort(-counts, kind="stable")[:SENT]
+                top = top[counts[top] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(known[top].view(np.int64)), pa.array(counts[top])], names=["word", "n"])
+
+    totals = blocks.select("tokens", "words").mapInArrow(send, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = totals.orderBy(F.desc("n"), "word").limit(NUMBERED - 2).select("word").collect()
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+
+
 class Grams:
-    """The n-grams of one block, by order: which one ends at each token, its hash, and how often training texts have it."""
+    """The n-grams of one block, by order: which one ends at each token, its key, and how often training texts have it.
+
+    The key of an n-gram of common words is made of their numbers, so that ascending keys differ by little; any other has a hash with the
+    highest bit set.
+    """
 
-    def __init__(self, sizes: bytes, tokens: bytes, vocabulary: bytes, training: list[bool], order: int):
+    def __init__(self, sizes: bytes, tokens: bytes, vocabulary: bytes, training: list[bool], order: int, common: np.ndarray):
         self.sizes = unpack(sizes)
         self.tokens = unpack(tokens)
         begins = np.cumsum(self.sizes) - self.sizes
@@ -174,6 +204,8 @@ class Grams:
         base = np.frombuffer(vocabulary, np.uint64)
         #: For each order, the local n-gram that ends at each position; positions nearer to the start have none.
         self.at, self.keys, self.counts = {1: self.tokens}, {1: base}, {}
+        self.word_numbers = numbered(base, common)
+        names, number = base, self.word_numbers
         is_token = self.depth > 0
         self.counts[1] = np.bincount(self.tokens[is_token & learnt], minlength=len(base))
         for n in range(2, order + 1):
@@ -184,7 +216,11 @@ class Grams:
             index[ends] = inverse
             self.at[n] = index
             self.counts[n] = np.bincount(inverse[learnt[ends]], minlength=len(known))
-            self.keys[n] = mixed(self.keys[n - 1][known // len(base)], base[known % len(base)], n)
+            context, word = known // len(base), known % len(base)
+            names = mixed(names[context], base[word], n)
+            both = (number[context] >= 0) & (self.word_numbers[word] >= 0) & (n * NUMBER_BITS < 63)
+            number = np.where(both, number[context] << NUMBER_BITS | self.word_numbers[word], -1)
+            self.keys[n] = np.where(both, number.view(np.uint64), names | np.uint64(1 << 63))
 
 
 def mixed(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
@@ -196,11 +232,22 @@ def mixed(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def numbered(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Numbers of the marks and the common words among a block's words, -1 for others."""
+    found = np.full(len(words), -1, np.int64)
+    found[:2] = START, END
+    if len(common) and len(words) > 2:
+        by = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[by], words[2:]), len(common) - 1)
+        found[2:] = np.where(common[by][at] == words[2:], by[at] + 2, -1)
+    return found
+
+
 def grouped(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys, and where each group's keys begin and end in it; a group is a range of hashes."""
-    order = np.argsort(keys, kind="stable")
-    edges = np.array([(g << 64) // groups for g in range(1, groups)], np.uint64)
-    return order, np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
+    """Order of the keys, and where each group's keys begin and end in it: ascending within a group, which is a range of the keys' hashes."""
+    group = (mixed(keys, np.uint64(0), 0) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    order = np.lexsort((keys, group))
+    return order, np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -212,7 +259,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
     return [sums[inverse[end - len(k) : end]] for k, end in zip(keys, ends, strict=True)], int((sums > 0).sum())
 
 
-def count(blocks: DataFrame, order: int, groups: int, stored: Stored) -> DataFrame:
+def count(blocks: DataFrame, order: int, groups: int, common: np.ndarray, stored: Stored) -> DataFrame:
     """Training counts of every n-gram of every block, over all blocks.
 
     A block sends each of its distinct n-grams once, with its own count, in one chunk per range of hashes. The task of a range sums the chunks
@@ -224,7 +271,7 @@ def count(blocks: DataFrame, order: int, groups: int, stored: Stored) -> DataFra
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                grams = Grams(row["sizes"], row["tokens"], row["words"], row["training"], order)
+                grams = Grams(row["sizes"], row["tokens"], row["words"], row["training"], order, common)
                 for n in range(1, order + 1):
                     keys, counts = grams.keys[n], grams.counts[n]
                     by, edges = grouped(keys, groups)
@@ -306,7 +353,8 @@ def score(docs: DataFrame, training: Column, order: int = 3, text: str = "text",
     sums = blocks.agg(F.sum("n_training").alias("n"), F.sum("n_tokens").alias("all")).first()
     n_training, n_tokens = sums["n"] or 0, sums["all"] or 0
     groups = max(16, -(-n_tokens // GROUP_KEYS))
-    answers = count(blocks, order, groups, stored)
+    common = common_words(blocks)
+    answers = count(blocks, order, groups, common, stored)
     n_types = answers.where("n = 1").agg(F.sum("types")).first()[0] or 0
 
     result = StructType(
@@ -322,7 +370,7 @@ def score(docs: DataFrame, training: Column, order: int = 3, text: str = "text",
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        grams = Grams(row["sizes"], row["tokens"], row["words"], row["training"], order)
+        grams = Grams(row["sizes"], row["tokens"], row["words"], row["training"], order, common)
         totals = {n: np.zeros(len(grams.keys[n]), np.int64) for n in range(1, order + 1)}
         places = {n: grouped(grams.keys[n], groups) for n in range(1, order + 1)}
         for answer in right.to_pylist():

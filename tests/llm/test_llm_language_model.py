@@ -75,6 +75,28 @@ def test_against_brute_force(small, messy, monkeypatch, order, block):
             assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=1e-6)
 
 
+@pytest.mark.parametrize("numbered", [2, 40])
+def test_numbers_of_common_words_change_nothing(small, monkeypatch, numbered):
+    """With no or few numbered words nearly every n-gram is named by its hash."""
+    monkeypatch.setattr(module, "BLOCK_TOKENS", 3000)
+    monkeypatch.setattr(module, "NUMBERED", numbered)
+    rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").limit(30).collect()]
+    docs = small.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    got, want = by_key(run(docs, 3)), by_key(brute(rows, 3))
+    for g, w in zip(got, want, strict=True):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=1e-6)
+
+
+def test_groups_hold_ascending_keys_that_meet_again():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    by, edges = module.grouped(keys, 7)
+    assert edges[0] == 0 and edges[-1] == len(keys) and np.diff(edges).min() > 500
+    assert all((np.diff(keys[by[a:b]].astype(float)) >= 0).all() for a, b in zip(edges, edges[1:], strict=False))
+    some, inner = module.grouped(keys[:100], 7)
+    for g in range(7):
+        assert set(keys[:100][some[inner[g] : inner[g + 1]]]) <= set(keys[by[edges[g] : edges[g + 1]]])
+
+
 def test_empty_table_and_no_training(nothing, messy):
     assert module.score(nothing, F.lit(True)).count() == 0
     assert all(r["n_known"] == 0 for r in module.score(messy, F.lit(False)).collect())
