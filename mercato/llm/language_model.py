@@ -244,8 +244,12 @@ def numbered(words: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def grouped(keys: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys, and where each group's keys begin and end in it: ascending within a group, which is a range of the keys' hashes."""
-    group = (mixed(keys, np.uint64(0), 0) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+    """Order of the keys, and where each group's keys begin and end in it: ascending within a group, which is a range of hashes.
+
+    N-grams of common words are hashed without the last word: those of one context, at most NUMBERED, stay together and differ by little.
+    """
+    context = np.where(keys >> np.uint64(63) > 0, keys, keys >> np.uint64(NUMBER_BITS))
+    group = (mixed(context, np.uint64(0), 0) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
     order = np.lexsort((keys, group))
     return order, np.searchsorted(group[order], np.arange(groups + 1, dtype=np.uint64))
 
