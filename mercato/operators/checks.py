@@ -68,32 +68,34 @@ def check_foreign_keys(tables: Tables) -> DataFrame:
     """
     frames = tables.named()
     references = [(name, fk) for name in frames for fk in TABLE_SPECS[name].foreign_keys]
-    place = {(name, fk.column): f"n{i}" for i, (name, fk) in enumerate(references)}
+    place = {(name, fk.column): i for i, (name, fk) in enumerate(references)}
+    # Tables and references go by number: these rows are many.
+    number = {parent: i for i, parent in enumerate(dict.fromkeys(fk.parent for _, fk in references))}
     asked = []
     for name, df in frames.items():
         keys = TABLE_SPECS[name].foreign_keys
         if keys:
             cells = [
-                F.struct(F.lit(fk.parent).alias("parent"), F.col(fk.column).alias("key"), F.lit(place[name, fk.column]).alias("place"))
+                F.struct(F.lit(number[fk.parent]).alias("parent"), F.col(fk.column).alias("key"), F.lit(place[name, fk.column]).alias("place"))
                 for fk in keys
             ]
             asked.append(df.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("key is not null"))
-    counts = [F.count_if(F.col("place") == n).alias(n) for n in place.values()]
+    counts = [F.count_if(F.col("place") == n).alias(f"n{n}") for n in place.values()]
     counted = union_all(asked).groupBy("parent", "key").agg(*counts)
     parents = union_all([
-        frames[parent].select(F.lit(parent).alias("parent"), F.col(column).alias("key"), F.lit(True).alias("known"))
+        frames[parent].select(F.lit(number[parent]).alias("parent"), F.col(column).alias("key"), F.lit(True).alias("known"))
         for parent, column in dict.fromkeys((fk.parent, fk.parent_column) for _, fk in references)
     ])
     # An anti-join would be pushed below the counts and into each child's scan, and so read every parent once per child. A repeated parent key
     # multiplies only keys that are not counted.
     missing = counted.join(parents, ["parent", "key"], "left").where("known is null")
-    orphans = missing.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in place.values()])
+    orphans = missing.agg(*[F.coalesce(F.sum(f"n{n}"), F.lit(0)).alias(f"n{n}") for n in place.values()])
     rows = [
         F.struct(
             F.lit(name).alias("child_table"),
             F.lit(fk.column).alias("child_column"),
             F.lit(fk.parent).alias("parent_table"),
-            F.col(place[name, fk.column]).alias("orphan_rows"),
+            F.col(f"n{place[name, fk.column]}").alias("orphan_rows"),
         )
         for name, fk in references
     ]
