@@ -51,7 +51,7 @@ def _resolved(name: str, df: DataFrame, key: Sequence[str], bits: int, found: Ro
     numbers = [F.lit(name).alias("name"), F.lit(rows).cast("long").alias("rows"), F.lit(nulls).cast("long").alias("null_key_rows")]
     counted = ("duplicate_groups", "extra_rows", "extra_rows_any")
     if not suspects:
-        return df.sparkSession.range(1).select(*numbers, *[F.lit(0).cast("long").alias(c) for c in counted])
+        return df.sparkSession.range(0, 1, 1, 1).select(*numbers, *[F.lit(0).cast("long").alias(c) for c in counted])
     repeated = df.groupBy(_hash(key, bits).alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash")
     repeated = F.broadcast(repeated) if suspects <= BROADCAST else repeated
     groups = (
