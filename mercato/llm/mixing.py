@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from mercato.llm.common import blank_words, whole
@@ -65,14 +66,16 @@ def mix(
     group, then over its rows, so no task sums a whole source.
 
     Cases: a null text has size 0 and is mixed with its source; a null source is one source, placed last. A source without words has
-    target 0 and is not taken. Rows that repeat an id are rows of their own. No rows in, no rows out. Input columns named like a result column
+    target 0 and is not taken. A text of any length is one document, ids may be of any type, and rows that repeat an id are rows of their own. Rows of
+    one size are ordered by id and text; rows equal in both are alike, so it does not matter which of them is taken. No rows in, no rows out. Input columns named like a result column
     are replaced.
     """
     ours = ("size", "source_size", "target", "copies", "taken")
+    number = F.col(key) if isinstance(docs.schema[key].dataType, IntegralType) else F.xxhash64(key)
     rows = docs.select(
         *(c for c in docs.columns if c not in ours),
         F.size(blank_words(whole(text))).cast("long").alias("size"),
-        F.coalesce(F.pmod(F.col(key), F.lit(PARTS)), F.lit(0)).cast("int").alias("__part"),
+        F.coalesce(F.pmod(number, F.lit(PARTS)), F.lit(0)).cast("int").alias("__part"),
         F.col("source").alias("__source"),
     )
     parts = rows.groupBy("__source", "size", "__part").agg(F.count("*").alias("__n"))

@@ -35,8 +35,8 @@ SELECT doc_id, size, source_size, target, (size * ((after >> 24) - ((after - ste
 
 OP8 = """
 WITH docs AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept,
-    text_sha256
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+    row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM docs WINDOW w AS (PARTITION BY text_sha256)
 """
 

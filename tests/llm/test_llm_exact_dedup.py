@@ -10,11 +10,14 @@ def expected(rows):
     groups = defaultdict(list)
     for doc_id, text, *_ in rows:
         groups[text or ""].append(doc_id)
-    out = []
+    out, taken = [], set()
     for doc_id, text, *_ in rows:
         ids = [i for i in groups[text or ""] if i is not None]
         keep = max(ids) if ids else None
-        out.append((doc_id, keep, len(groups[text or ""]), doc_id == keep, hashlib.sha256((text or "").encode()).hexdigest()))
+        kept = doc_id == keep and (text or "") not in taken
+        if kept:
+            taken.add(text or "")
+        out.append((doc_id, keep, len(groups[text or ""]), kept, hashlib.sha256((text or "").encode()).hexdigest()))
     return Counter(out)
 
 
@@ -36,6 +39,15 @@ def test_against_brute_force(small, messy, monkeypatch, bits, hot):
         assert result(docs) == expected(rows_of(docs))
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_one_row_of_each_text_stays(make, monkeypatch, hot):
+    monkeypatch.setattr(module, "HOT", hot)
+    rows = [(1, "x", "a"), (1, "x", "b"), (None, None, "a"), (None, "", "a"), (2, "y", "a"), (3, "y", "a"), (3, "y", "a"), (4, "z", "a")] * 5
+    docs = make(rows).repartition(7).checkpoint()
+    assert result(docs) == expected([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert module.exact_dedup(docs).where("kept").count() == 4
+
+
 def test_unique_rows_do_not_shuffle(small):
     plan = module.exact_dedup(small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and plan.count("Union") == 1

@@ -82,3 +82,9 @@ def test_against_sql(spark):
     got = [tuple(r) for r in op1_mix_sources(spark, SMALL).select(*names).collect()]
     rounded = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
     assert rounded(got) == rounded(want)
+
+
+def test_ids_of_any_type(small):
+    texts = small.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    sources = module.mix(texts).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).collect()
+    assert sources and all(abs(r["taken"] - r["target"]) <= 2 * r["size"] for r in sources)
