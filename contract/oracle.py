@@ -510,9 +510,19 @@ def _executive() -> dict[str, str]:
     }
 
 
+# Queries that read state kept per batch of orders have the result of the view over all orders.
+FROM_STATE = {
+    "cohort_retention_from_state": "cohort_retention",
+    "executive_kpis_from_state": "executive_kpis",
+    "monthly_performance_from_state": "monthly_business_performance",
+    "customer_rfm_from_state": "customer_rfm",
+}
+
+
 def statements() -> dict[str, str]:
     parts = [_violations(), _quality(), _model(), _revenue(), _rfm(), _cohorts(), _delivery(), _executive()]
-    return {name: _with_base(sql) for part in parts for name, sql in part.items()}
+    plain = {name: _with_base(sql) for part in parts for name, sql in part.items()}
+    return plain | {name: plain[view] for name, view in FROM_STATE.items()}
 
 
 def _with_base(sql: str) -> str:

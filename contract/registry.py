@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contract.mapping import load_tables
 from mercato.operators import checks, rollups
-from mercato.plans import categories, cohorts, delivery, executive, quality, reconciliation, revenue, rfm
+from mercato.plans import categories, cohorts, customer_state, delivery, executive, quality, reconciliation, revenue, rfm
 from mercato.plans.order_model import delivered, order_analytics, orders_clean, sold
 from mercato.sources.tables import Tables
+from mercato.storage import shared_folder
 
 # Calendar given wider than the data, as a report with fixed bounds would.
 CALENDAR_FIRST = dt.date(1994, 11, 1)
 CALENDAR_LAST = dt.date(2001, 10, 1)
 COMPARABLE_FROM = dt.date(1995, 6, 1)
+# Orders from here on are the later of the two batches that the state is kept in.
+LATER_BATCH = dt.date(1997, 3, 1)
 
 
 def _facts(*parts: str) -> Callable[[Tables], DataFrame]:
@@ -69,6 +74,20 @@ def _retention(t: Tables) -> DataFrame:
     return cohorts.cohort_retention(_customer_orders(t))
 
 
+def _from_state(view: str) -> Callable[[Tables], DataFrame]:
+    """A view read from the state of two batches, the later one added to the earlier."""
+
+    def plan(t: Tables) -> DataFrame:
+        spark = t.orders.sparkSession
+        root = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+        later = F.coalesce(F.col("order_purchase_timestamp") >= F.lit(LATER_BATCH), F.lit(False))
+        for batch, of_batch in (("earlier", ~later), ("later", later)):
+            customer_state.write_batch(customer_state.tables_of_batch(t, of_batch), root, batch)
+        return customer_state.state_marts(spark, root)[view]
+
+    return plan
+
+
 def _extras(t: Tables) -> DataFrame:
     totals = categories.category_totals(
         t.order_items,
@@ -195,6 +214,11 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "rfm_totals_check": lambda t: rfm.rfm_totals_check(rfm.customer_rfm(_customer_values(t))),
     "cohort_bounds_check": lambda t: cohorts.cohort_bounds_check(_retention(t)),
+    # the same views from state kept per batch of orders
+    "cohort_retention_from_state": _from_state("vw_cohort_retention"),
+    "executive_kpis_from_state": _from_state("vw_executive_kpis"),
+    "monthly_performance_from_state": _from_state("vw_monthly_business_performance"),
+    "customer_rfm_from_state": _from_state("vw_customer_rfm"),
     "reconcile": reconciliation.reconcile_tables,
     "dashboard_extras": _extras,
 }

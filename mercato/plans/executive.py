@@ -9,7 +9,8 @@ from mercato.functions.exact import MONEY, SCORE, percent, rounded_ratio
 from mercato.plans.order_model import delivered
 
 
-def _order_sums() -> list:
+def order_sums() -> list:
+    """Sums over orders that can be added up again; the executive figures are ratios of them."""
     return [
         F.count("*").alias("orders"),
         F.sum("product_revenue").cast(MONEY).alias("product_revenue"),
@@ -28,7 +29,11 @@ def executive_kpis(facts: DataFrame) -> DataFrame:
     Orders are summed per customer and the customers are summed up, so order and customer figures come from
     one pass and need no join of two totals. Orders without a known customer count as one customer.
     """
-    per_customer = delivered(facts).groupBy("customer_unique_id").agg(*_order_sums())
+    return kpis_of_customers(delivered(facts).groupBy("customer_unique_id").agg(*order_sums()))
+
+
+def kpis_of_customers(per_customer: DataFrame) -> DataFrame:
+    """:func:`executive_kpis` from one row of :func:`order_sums` per customer."""
 
     def total(name: str):
         return F.sum(name).alias(name)
@@ -61,24 +66,24 @@ def executive_kpis(facts: DataFrame) -> DataFrame:
 
 
 def monthly_business_performance(facts: DataFrame) -> DataFrame:
-    return (
-        delivered(facts)
-        .groupBy("purchase_month")
-        .agg(F.count_distinct("customer_unique_id").alias("customers"), *_order_sums())
-        .select(
-            "purchase_month",
-            "orders",
-            "customers",
-            "product_revenue",
-            "total_order_value",
-            rounded_ratio("total_order_value", "valued").alias("average_order_value"),
-            rounded_ratio("score_sum", "scored").cast(SCORE).alias("average_review_score"),
-            "late_orders",
-            "orders_with_delivery_data",
-            percent("late_orders", "orders_with_delivery_data").alias("late_delivery_rate_pct"),
-        )
-        .orderBy(F.asc_nulls_last("purchase_month"))
-    )
+    customers = F.count_distinct("customer_unique_id").alias("customers")
+    return report_of_months(delivered(facts).groupBy("purchase_month").agg(customers, *order_sums()))
+
+
+def report_of_months(months: DataFrame) -> DataFrame:
+    """:func:`monthly_business_performance` from ``customers`` and :func:`order_sums` per month."""
+    return months.select(
+        "purchase_month",
+        "orders",
+        "customers",
+        "product_revenue",
+        "total_order_value",
+        rounded_ratio("total_order_value", "valued").alias("average_order_value"),
+        rounded_ratio("score_sum", "scored").cast(SCORE).alias("average_review_score"),
+        "late_orders",
+        "orders_with_delivery_data",
+        percent("late_orders", "orders_with_delivery_data").alias("late_delivery_rate_pct"),
+    ).orderBy(F.asc_nulls_last("purchase_month"))
 
 
 def monthly_totals_check(monthly: DataFrame) -> DataFrame:

@@ -280,6 +280,11 @@ def customer_rfm(facts: DataFrame, snapshot: dt.date | None = None) -> DataFrame
         F.sum("total_order_value").cast(MONEY).alias("total_order_value"),
         F.max("purchase_date").alias("last_purchase_date"),
     )
+    return customer_rfm_of_totals(totals, snapshot)
+
+
+def customer_rfm_of_totals(totals: DataFrame, snapshot: dt.date | None = None) -> DataFrame:
+    """:func:`customer_rfm` from frequency, sums and last purchase per customer."""
     date = F.lit(snapshot) if snapshot else _latest(totals)
     return totals.withColumn("recency_days", F.datediff(date, "last_purchase_date")).withColumn(
         "customer_type", purchase_type()
