@@ -12,6 +12,8 @@ from mercato.llm.common import whole
 WINDOW = 8
 #: Part of an item's template that a document must have, and part of its slots that one substitution must explain.
 COVERED, CONSISTENT = 0.5, 0.9
+#: Distinct names that changed, per word that is the same in the matched windows: with more, two sentences have no more in common than their build.
+RENAMED = 0.5
 #: Diagonals of one match are at most this far apart, and at most a quarter of the item.
 DRIFT = 8
 #: A benchmark with more windows than this is joined by shuffling instead of being broadcast.
@@ -23,18 +25,38 @@ POINT = "ˑ"
 #: ASCII, Latin-1 and general punctuation parts words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F]+"
 
-# Units that follow a number.
+# Units that follow a number, in English, German, French and Spanish.
 UNITS = (
     "kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "lb", "lbs", "oz", "l", "ml", "s", "min", "h", "hr", "hrs", "mph", "kmh",
     "kilograms", "kilogram", "grams", "gram", "kilometers", "kilometer", "kilometres", "meters", "meter", "metres", "centimeters",
     "miles", "mile", "feet", "foot", "inches", "inch", "yards", "pounds", "ounces", "liters", "liter", "litres", "gallons",
     "seconds", "second", "minutes", "minute", "hours", "hour", "days", "day", "weeks", "week", "months", "month", "years", "year",
     "dollars", "dollar", "cents", "euros", "euro", "percent", "degrees", "points",
+    "kilogramm", "gramm", "pfund", "zentimeter", "sekunden", "sekunde", "minuten", "stunden", "stunde", "tage", "tagen", "tag", "wochen", "woche",
+    "monate", "monaten", "monat", "jahre", "jahren", "jahr", "prozent", "grad",
+    "kilogrammes", "grammes", "kilos", "kilo", "mètres", "kilomètres", "secondes", "heures", "heure", "jours", "jour", "semaines", "semaine", "mois",
+    "ans", "années", "degrés",
+    "kilogramos", "gramos", "metros", "kilómetros", "litros", "segundos", "minutos", "horas", "hora", "días", "día", "semanas", "semana", "meses", "mes",
+    "años", "año", "grados",
 )
-# Numbers written as words.
+# Numbers written as words in these languages, without those that are another word in one of them.
 NUMBER_WORDS = (
-    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty",
-    "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
+    "million", "billion",
+    "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "zwölf", "dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn",
+    "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "deux", "trois", "quatre", "cinq", "sept", "huit", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente", "quarante",
+    "cinquante", "soixante", "mille",
+    "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "trece", "catorce", "quince", "veinte", "treinta", "cuarenta",
+    "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "ciento",
+)
+# German words before a noun; other languages have names there rarely.
+DETERMINERS = (
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "im", "am", "ins", "ans", "zum", "zur", "vom", "beim",
+    "kein", "keine", "keinen", "keinem", "keiner", "jede", "jeder", "jedes", "jeden", "jedem", "diese", "dieser", "dieses", "diesen", "diesem",
+    "mein", "meine", "meinen", "meinem", "meiner", "sein", "seine", "seinen", "seinem", "seiner", "ihr", "ihre", "ihren", "ihrem", "ihrer",
+    "unser", "unsere", "unseren", "unserem", "unserer",
 )
 
 # Words that begin sentences and are no names.
@@ -45,13 +67,19 @@ STARTERS = (
     "Could", "Will", "Would", "Should", "Has", "Have", "Had", "Let", "Given", "Find", "Suppose", "With", "While", "Not", "No", "Yes", "Now", "Here",
     "Der", "Die", "Das", "Ein", "Eine", "Es", "Er", "Sie", "Wir", "Ich", "Und", "Aber", "Wenn", "Wie", "Was", "Wer", "Wo", "Im", "Am", "Ist",
     "Le", "La", "Les", "Un", "Une", "Il", "Elle", "On", "Nous", "Vous", "Si", "Et", "Mais", "Que", "Qui", "Dans", "En", "El", "Los", "Las", "Una", "Unos",
-    "Pero", "Cuando", "Como", "Quand", "Comment", *(w.capitalize() for w in NUMBER_WORDS),
+    "Pero", "Cuando", "Como", "Quand", "Comment", "Dem", "Den", "Des", "Einen", "Einem", "Einer", "Kein", "Keine", "Jede", "Jeder", "Jedes", "Diese",
+    "Dieser", "Dieses", *(w.capitalize() for w in NUMBER_WORDS),
 )
 _EDGE, _GAP = r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]{1,3}"
+#: After a determiner, or one and a declined adjective, stands a noun. 'I am' is no determiner.
+_NOUN = (
+    rf"(?<![^\p{{L}}\p{{N}}](?!am (?<=I am ))(?i:{'|'.join(DETERMINERS)}) (?:\p{{Ll}}{{2,16}}(?:e|en|em|er|es) )?)"
+    rf"(?<!^(?i:{'|'.join(DETERMINERS)}) (?:\p{{Ll}}{{2,16}}(?:e|en|em|er|es) )?)"
+)
 #: Where a name begins; see :func:`tokens`.
 NAME = (
     r"(?=\p{Lu}\p{L})(?<![\p{L}\p{N}])(?:"
-    rf"(?=.\p{{Ll}})(?:(?<=[\p{{L}}\p{{N}},;] )|(?!(?:{'|'.join(dict.fromkeys(STARTERS))}){_EDGE}))"
+    rf"(?=.\p{{Ll}}){_NOUN}(?:(?<=[\p{{L}}\p{{N}},;] )|(?!(?:{'|'.join(dict.fromkeys(STARTERS))}){_EDGE}))"
     rf"|(?=\p{{Lu}}{{2}})(?:(?<!\p{{Lu}}{{2}}{_GAP})(?=\p{{Lu}}{{2,}}{_EDGE}(?:{_GAP}\p{{Lu}}{{2,}}{_EDGE})?+(?!{_GAP}\p{{Lu}}{{2}}))"
     rf"|(?<=(?:^|[^\p{{Lu}}]){_GAP}\p{{Lu}}{{2,20}}{_GAP}|^\p{{Lu}}{{2,20}}{_GAP})(?=\p{{Lu}}{{2,}}{_EDGE}(?!{_GAP}\p{{Lu}}{{2}}))))"
 )
@@ -61,7 +89,7 @@ def tokens(text: Column) -> Column:
     """Lower-cased words of a text; names and units carry a mark.
 
     A name is a capitalised word: any after a word or a comma on the same line, and elsewhere (at the start of a sentence, a line or a quotation)
-    any but ``STARTERS``. Of words in capitals, at most two in a row are names; more are shouted text. A unit follows a number.
+    any but ``STARTERS``, in both cases not after a German article or pronoun, where a noun stands. Of words in capitals, at most two in a row are names; more are shouted text. A unit follows a number.
     """
     # Each pattern begins with what is rare, so most characters are passed over at once.
     joined = F.regexp_replace(text, r"[.,](?<=[0-9].)(?=[0-9])", POINT)
@@ -134,7 +162,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     equal values in the document; different ones may become equal. Diagonals up to DRIFT and a quarter of the item apart are also taken together, by
     their matched windows, which lets words be added or left out. What is verified counts, and the best of it is reported.
 
-    An item of slots alone must be there with its own values.
+    An item of slots alone must be there with its own values. With more than RENAMED changed names per literal word in the matched windows, two texts share
+    a build and no more, and do not match: of a very short item, one name at most may have changed.
     """
     source = docs.select(F.col(key).alias("key"), F.xxhash64(whole(text)).alias("text_hash"), whole(text).alias("text"))
     items = (
@@ -216,8 +245,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     slots = F.filter("x.cells", lambda c: shape_of_value(c["a"]).startswith(MARK) & ~ran_in(c))
     own = F.forall("x.cells", lambda c: F.concat(F.lit(" "), c["b"], F.lit(" ")).contains(F.concat(F.lit(" "), c["a"], F.lit(" "))))
     pairs = F.transform(slots, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b")))
+    literal = F.size(F.filter("x.cells", lambda c: ~c["a"].startswith(MARK) & (c["a"] == c["b"])))
+    is_name = lambda c: c["a"].startswith(f"{MARK}p") & (c["a"] != c["b"]) & ~ran_in(c)
+    renamed = F.size(F.array_distinct(F.transform(F.filter("x.cells", is_name), lambda c: c["a"])))
+    alike = (renamed <= 1) | (renamed <= RENAMED * literal)
     return (
-        read.where((F.col("x.coverage") >= COVERED) & (F.col("worded") | own))
+        read.where((F.col("x.coverage") >= COVERED) & (F.col("worded") | own) & alike)
         .select(*of, F.col("x.coverage").alias("coverage"), pairs.alias("pairs"))
         .select(*of, "coverage", consistency_of(F.col("pairs")).alias("consistency"))
         .where(F.col("consistency") >= CONSISTENT)
@@ -229,7 +262,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with ``contaminated``, ``items`` (ascending item ids) and ``coverage`` (of the best item, else 0).
 
-    Cases: null and empty texts are clean; an item of few tokens is found wherever its whole template is; a null id is matched like any other; items
+    Cases: null and empty texts are clean; a text of any length is read whole; items that match a document equally well are all listed; an item of few tokens is found wherever its whole template is; a null id is matched like any other; items
     without an id or without a token are left out; rows that repeat an id and a text share a verdict. No rows in, no rows out; an empty benchmark leaves all clean. Input columns named
     like a result column are replaced.
     """

@@ -99,3 +99,54 @@ def test_values_may_become_equal(make, spark):
     half = ITEM[: ITEM.index("and 7 loaves")] + "while the 99 neighbours slept , 12 geese and Anna waited to 12 what 4 euros and the birds sang from 98 hours"
     assert found_items(make, spark, item, item.replace("3", "4").replace("5", "4")) == [True]
     assert found_items(make, spark, ITEM, FILLER + half) == [True]
+
+
+#: Pairs of one build and different words: capitalised nouns are no names.
+CLEAN = [
+    (
+        "Der Hund liegt am Abend neben dem Ofen und der Mann liest die Zeitung in der Küche.",
+        "Der Minister liegt am Montag neben dem Berg und der Vertrag liest die Rolle in der Stadt.",
+    ),
+    (
+        "Eine alte Frau kauft jeden Morgen frisches Brot und ein kleines Kind trinkt die warme Milch im Garten.",
+        "Eine alte Bank kauft jeden Sommer frisches Geld und ein kleines Werk trinkt die warme Suppe im Norden.",
+    ),
+    (
+        "The River Thames flows past London and Oxford while Big Ben and Tower Bridge stand near Westminster and Lambeth.",
+        "The Hotel Astor flows past Paris and Lyon while Big Sur and Golden Gate stand near Berkeley and Oakland.",
+    ),
+    (
+        "Le garçon lit un livre dans le jardin et sa soeur chante une chanson près de la maison.",
+        "Le soldat voit un navire dans le brouillard et sa mère écrit une lettre près de la fenêtre.",
+    ),
+    (
+        "El niño come una manzana en la cocina y su hermana bebe un vaso de agua cerca de la puerta.",
+        "El barco cruza una tormenta en la noche y su capitán mira un mapa de estrellas cerca de la vela.",
+    ),
+]
+#: Items whose numbers, names and units change, as they are and as templates.
+CHANGING = [
+    "{a} buys {n} apples at the market and gives {m} of them to {b} , how many {u} does it take until {a} has eaten the rest after {m} {u} ?",
+    "{a} kauft {n} Äpfel auf dem Markt und gibt {b} davon {m} Stück , wie viele hat {a} nach {m} {u} noch übrig wenn keiner mehr verkauft wird ?",
+    "{a} achète {n} pommes au marché et donne {m} fruits à {b} , combien de pommes reste-t-il à {a} après {m} {u} de voyage en train ?",
+    "{a} compra {n} manzanas en el mercado y regala {m} piezas a {b} , cuántas manzanas le quedan a {a} tras {m} {u} de viaje en tren ?",
+]
+VALUES = [
+    dict(a="Anna", b="Tom", n="12", m="5", u="days"), dict(a="Clara", b="Emil", n="31", m="7", u="hours"),
+    dict(a="Lucie", b="Hugo", n="18", m="zwei", u="Stunden"), dict(a="Marta", b="Pablo", n="nueve", m="14", u="semanas"),
+    dict(a="Ines", b="Karl", n="1,250", m="trois", u="jours"),
+]
+
+
+def test_texts_of_one_build_are_clean(make, spark):
+    for item, other in CLEAN:
+        assert found_items(make, spark, item, FILLER + other, other, FILLER + item) == [False, False, True], item
+
+
+def test_reparameterised_items_in_four_languages(make, spark):
+    items = [(i, t.format(**VALUES[0])) for i, t in enumerate(CHANGING)]
+    docs = [(10 * i + j, f"{FILLER} {t.format(**v)} {FILLER}", "a") for i, t in enumerate(CHANGING) for j, v in enumerate(VALUES)]
+    found = module.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    held = [r["doc_id"] for r in found if r["doc_id"] // 10 in r["items"]]
+    assert len(held) >= 0.9 * len(docs), sorted({d for d, *_ in docs} - set(held))
+    assert all(set(r["items"]) <= {r["doc_id"] // 10} for r in found)
