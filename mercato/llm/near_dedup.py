@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 #: The most common shingles weigh 1, the rare ones 1 + DAMPING: a group of near copies that holds a third of all texts stays above the threshold.
 DAMPING = 0.5
 #: Shingles that are sampled together.
-CHUNK = 1 << 13
+CHUNK = 1 << 14
 
 U64 = np.uint64
 
@@ -71,6 +71,32 @@ def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(rolled_shingles(text, hashes), return_counts=True)
 
 
+def cut_texts(rows: DataFrame) -> DataFrame:
+    """``node`` with its distinct shingles as ``hashes`` (64 bits each) and ``repeats``: (position, count) of those that occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingles(t.as_py(), hashes) for t in batch.column("text")]
+            often = [np.flatnonzero(n > 1) for _, n in found]
+            repeats = [np.stack([at, n[at]]).tobytes() for at, (_, n) in zip(often, found, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array(repeats, pa.binary())],
+                names=["node", "hashes", "repeats"],
+            )
+
+    return rows.select("node", "text").mapInArrow(run, "node string, hashes binary, repeats binary")
+
+
+def shingle_counts(hashes: bytes, repeats: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`shingles` gave, read back from a row of :func:`cut_texts`."""
+    found = np.frombuffer(hashes, U64)
+    counts = np.ones(len(found), np.int64)
+    at, often = np.frombuffer(repeats, np.int64).reshape(2, -1)
+    counts[at] = often
+    return found, counts
+
+
 class Weights:
     """TF-IDF weight of shingles: the count times a damped inverse document frequency."""
 
@@ -134,48 +160,42 @@ def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
     return float(both / total) if total else 0.0
 
 
-def common_shingles(rows: DataFrame) -> list[tuple[int, int]]:
-    """Shingles that more than COMMON of all documents have, with their document counts.
+def common_shingles(cut: DataFrame, documents: int) -> list[tuple[int, int]]:
+    """Shingles that more than COMMON of all documents have, with their document counts; ``cut`` is a stored :func:`cut_texts`.
 
-    Pass one counts shingles per hash bucket; a common shingle makes its bucket heavy, as it occurs at least as often as it has documents. Pass two
+    Pass one counts documents' shingles per hash bucket; a common shingle makes its bucket heavy, as that holds all its documents. Pass two
     counts the documents of each shingle of the heavy buckets. Both passes sum per task before they shuffle and cover all documents;
     what reaches the driver is bounded by BUCKETS bits and by (shingles per document) / COMMON rows.
     """
-    documents = rows.count()
     least = max(2, math.ceil(COMMON * documents))
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for t in batch.column("text"):
-                found = (rolled_shingles(t.as_py(), hashes) & U64(BUCKETS - 1)).astype(np.int64)
-                if len(found) > BUCKETS:
-                    counts += np.bincount(found, minlength=BUCKETS)
-                else:
-                    np.add.at(counts, found, 1)
+            found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U64)
+            counts += np.bincount((found & U64(BUCKETS - 1)).view(np.int64), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full])], names=["bucket", "n"])
 
-    totals = rows.select("text").mapInArrow(by_bucket, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    totals = cut.select("hashes").mapInArrow(by_bucket, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     heavy = np.zeros(BUCKETS, bool)
     heavy[[r["bucket"] for r in totals.where(F.col("n") >= least).select("bucket").collect()]] = True
 
     def by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            rolled = (rolled_shingles(t.as_py(), hashes) for t in batch.column("text"))
-            found = [np.unique(h[heavy[(h & U64(BUCKETS - 1)).astype(np.int64)]]) for h in rolled]
-            known, counts = np.unique(np.concatenate([np.zeros(0, U64), *found]), return_counts=True)
+            # A document has each of its shingles once here, so occurrences are documents.
+            found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U64)
+            known, counts = np.unique(found[heavy[(found & U64(BUCKETS - 1)).view(np.int64)]], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"]
             )
 
-    counted = rows.select("text").mapInArrow(by_shingle, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = cut.select("hashes").mapInArrow(by_shingle, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return [(r["shingle"], r["n"]) for r in counted.where(F.col("n") >= least).collect()]
 
 
-def signatures(rows: DataFrame, weights: Weights) -> DataFrame:
-    """``node`` with its ``bands`` and ``samples`` for every row that has a shingle."""
+def signatures(cut: DataFrame, weights: Weights) -> DataFrame:
+    """``node`` with its ``bands`` and ``samples`` for every row of a stored :func:`cut_texts` that has a shingle."""
 
     def flush(nodes: list, parts: list) -> pa.RecordBatch:
         sizes = np.array([len(h) for h, _ in parts])
@@ -191,11 +211,10 @@ def signatures(rows: DataFrame, weights: Weights) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         nodes, parts, size = [], [], 0
         for batch in batches:
-            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
-                h, n = shingles(text.as_py(), hashes)
+            for node, hashes, repeats in zip(*(batch.column(c) for c in ("node", "hashes", "repeats")), strict=True):
+                h, n = shingle_counts(hashes.as_py(), repeats.as_py())
                 if not len(h):
                     continue
                 nodes.append(node.as_py())
@@ -207,7 +226,7 @@ def signatures(rows: DataFrame, weights: Weights) -> DataFrame:
         if nodes:
             yield flush(nodes, parts)
 
-    return rows.select("node", "text").mapInArrow(run, "node string, bands array<long>, samples binary")
+    return cut.mapInArrow(run, "node string, bands array<long>, samples binary")
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -276,12 +295,15 @@ def rooms(placed: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that are not one class yet, dealt into rooms of at most about 2 * ROOM members.
 
     Links can only be missing between members of different labels, so only members outside a bucket's largest label (``minor``) need to
-    be compared: part i of them meets part j of all members in room (bucket, i, j). Pairs with the pivot are done.
+    be compared: part i of them meets part j of all members in room (bucket, i, j). Pairs with the pivot are done. A bucket's members reach its
+    row in as many salts as it has parts.
     """
     labelled = placed.where("node != pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("members") / ROOM)
+    labelled = labelled.withColumn("draw", F.xxhash64("node")).withColumn("salt", F.pmod("draw", salts)).withColumn("salts", salts)
+    by_label = labelled.groupBy("bucket", "salts", "label").agg(F.count("*").alias("n"))
     mixed_ = (
-        by_label.groupBy("bucket")
+        by_label.groupBy("bucket", "salts")
         .agg(F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("members"))
         .where("members > largest.n")
         .select(
@@ -289,9 +311,10 @@ def rooms(placed: DataFrame, labels: DataFrame) -> DataFrame:
             F.col("largest.label").alias("largest"),
             F.ceil(F.col("members") / ROOM).alias("parts"),
             F.ceil((F.col("members") - F.col("largest.n")) / ROOM).alias("minor_parts"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
         )
     )
-    met = labelled.join(mixed_, "bucket").withColumn("draw", F.xxhash64("node")).withColumn("minor", F.col("label") != F.col("largest"))
+    met = labelled.drop("members", "salts").join(mixed_, ["bucket", "salt"]).withColumn("minor", F.col("label") != F.col("largest"))
     rest = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     as_member = F.transform(rest("minor_parts"), lambda i: F.struct(i.alias("i"), F.pmod("draw", "parts").alias("j"), F.lit(False).alias("asks")))
     as_minor = F.transform(rest("parts"), lambda j: F.struct(F.pmod("draw", "minor_parts").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
@@ -383,16 +406,19 @@ def components(links: DataFrame, stored: Stored) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, stored: Stored, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` with their ``node`` (a digest of the text), and for each linked node its ``label``; see :func:`near_dedup`."""
-    stored = Stored(docs.sparkSession)
     text_col = whole(text)
     marked = docs.withColumn("__node", F.md5(text_col.cast("binary")))
     rows = marked.select(
         F.col("__node").alias("node"), text_col.alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id_text")
     )
-    weights = Weights(common_shingles(rows), rows.count())
-    signed = stored.save(signatures(rows, weights).dropDuplicates(["node"]))
+    # Texts are cut once; both counting passes and the sampling read the stored shingles.
+    cut = stored.save(cut_texts(rows))
+    documents = cut.count()
+    weights = Weights(common_shingles(cut, documents), documents)
+    signed = stored.save(signatures(cut, weights).dropDuplicates(["node"]))
+    stored.drop(cut)
     # One row of each text stands for its copies.
     keepers = rows.groupBy("node").agg(F.min("id_text").alias("id_text"))
     buckets = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -406,8 +432,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     dealt = stored.save(rooms(placed.where("members > 2"), labels))
     more = linked_in_rooms(dealt, drawn, rows, keepers, weights, stored)
     if more.limit(1).count():
+        stored.drop(labels)
         labels = components(links.union(more), stored)
-    for done in (signed, placed, dealt):
+    for done in (signed, placed, dealt, links, more):
         stored.drop(done)
     return marked, labels
 
@@ -432,10 +459,10 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     class id unless its class has no other. One row of each class is kept: of texts with the class id the one of least digest, and of rows that
     repeat both, any. No rows in, no rows out. Input columns named like a result column are replaced.
     """
-    marked, labels = classes(docs, text, key)
+    stored = Stored(docs.sparkSession)
+    marked, labels = classes(docs, stored, text, key)
     ours = ("class_id", "class_size", "kept")
     names = [c for c in docs.columns if c not in ours]
-    stored = Stored(docs.sparkSession)
     # Node by node: how its class is named. Both tables are stored, so the joins below are plain and can be split.
     by_id = marked.groupBy("__node", F.col(key).alias("__id")).agg(F.count("*").alias("n"))
     # ``copies``: rows of the node that have its least id, or all if none has an id.
@@ -446,12 +473,14 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         "label", F.coalesce("label", "__node")
     )
     named = stored.save(named)
+    stored.drop(labels)
     keeper = F.min(F.struct(F.col("least").isNull(), "least", "__node", "copies"))
     totals = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), keeper.alias("keeper"))
     totals = stored.save(
         totals.select("label", "class_id", "class_size", F.col("keeper.__node").alias("__keeper"), F.col("keeper.copies").alias("__copies"))
     )
     by_node = stored.save(named.select("__node", "label").join(totals, "label").drop("label"))
+    stored.drop(named)
     found = (
         marked.select(*names, "__node")
         .join(by_node, "__node")

@@ -72,6 +72,26 @@ def test_cases(messy, nothing):
     assert len(found.columns) == len(set(found.columns)) and "node" in found.columns
 
 
+def test_stored_shingles_round_trip(spark):
+    texts = ["", "a b", "a b c d e " * 40 + "f g h", " ".join(f"w{i % 700}" for i in range(5000)), "One two THREE four five six"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "node string, text string")
+    found = {r["node"]: module.shingle_counts(r["hashes"], r["repeats"]) for r in module.cut_texts(rows).collect()}
+    for i, t in enumerate(texts):
+        hashes, counts = module.shingles(t, module.WordHashes())
+        assert (found[str(i)][0] == hashes).all() and (found[str(i)][1] == counts).all()
+
+
+def test_common_shingles_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(module, "COMMON", 1 / 8)
+    texts = varied(40, 30, 6) + varied(20, 30, 0, 2) + varied(60, 20, 20, 3)
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "node string, text string").repartition(7)
+    hashes, wanted = module.WordHashes(), Counter()
+    for t in texts:
+        wanted.update(module.shingles(t, hashes)[0].view(np.int64).tolist())
+    least = math.ceil(len(texts) / 8)
+    assert dict(module.common_shingles(module.cut_texts(rows), len(texts))) == {h: n for h, n in wanted.items() if n >= least}
+
+
 def test_sampling_estimates_weighted_jaccard():
     draw = np.random.default_rng(3)
     agree, exact = [], []
