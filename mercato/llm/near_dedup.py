@@ -31,17 +31,19 @@ BUCKETS = 1 << 18
 DAMPING = 0.5
 #: Shingles that are sampled together.
 CHUNK = 1 << 14
+#: Shingles of a batch that a task hands on, and rows of a batch that it reads at once.
+BATCH, SLICE = 1 << 18, 512
 
 U64 = np.uint64
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; emptied at a million words."""
+    """64-bit hashes of words; emptied at half a million words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -75,15 +77,21 @@ def cut_texts(rows: DataFrame) -> DataFrame:
     """``node`` with its distinct shingles as ``hashes`` (64 bits each) and ``repeats``: (position, count) of those that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        words, names = WordHashes(), ["node", "hashes", "repeats"]
+        nodes, hashes, repeats, size = [], [], [], 0
         for batch in batches:
-            found = [shingles(t.as_py(), hashes) for t in batch.column("text")]
-            often = [np.flatnonzero(n > 1) for _, n in found]
-            repeats = [np.stack([at, n[at]]).tobytes() for at, (_, n) in zip(often, found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array(repeats, pa.binary())],
-                names=["node", "hashes", "repeats"],
-            )
+            for node, text in zip(batch.column("node"), batch.column("text"), strict=True):
+                h, n = shingles(text.as_py(), words)
+                often = np.flatnonzero(n > 1)
+                nodes.append(node.as_py())
+                hashes.append(h.tobytes())
+                repeats.append(np.stack([often, n[often]]).tobytes())
+                size += len(h)
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hashes, pa.binary()), pa.array(repeats, pa.binary())], names=names)
+                    nodes, hashes, repeats, size = [], [], [], 0
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hashes, pa.binary()), pa.array(repeats, pa.binary())], names=names)
 
     return rows.select("node", "text").mapInArrow(run, "node string, hashes binary, repeats binary")
 
@@ -97,6 +105,13 @@ def shingle_counts(hashes: bytes, repeats: bytes) -> tuple[np.ndarray, np.ndarra
     return found, counts
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The ``hashes`` of a few rows after another, as one array each."""
+    for batch in batches:
+        for start in range(0, len(batch), SLICE):
+            yield np.frombuffer(b"".join(batch.column("hashes").slice(start, SLICE).to_pylist()), U64)
+
+
 class Weights:
     """TF-IDF weight of shingles: the count times a damped inverse document frequency."""
 
@@ -171,8 +186,7 @@ def common_shingles(cut: DataFrame, documents: int) -> list[tuple[int, int]]:
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U64)
+        for found in in_slices(batches):
             counts += np.bincount((found & U64(BUCKETS - 1)).view(np.int64), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full])], names=["bucket", "n"])
@@ -182,9 +196,8 @@ def common_shingles(cut: DataFrame, documents: int) -> list[tuple[int, int]]:
     heavy[[r["bucket"] for r in totals.where(F.col("n") >= least).select("bucket").collect()]] = True
 
     def by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A document has each of its shingles once here, so occurrences are documents.
-            found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), U64)
+        # A document has each of its shingles once here, so occurrences are documents.
+        for found in in_slices(batches):
             known, counts = np.unique(found[heavy[(found & U64(BUCKETS - 1)).view(np.int64)]], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(known.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "n"]
